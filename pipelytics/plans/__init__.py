@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("commerce",)
+AREAS = ("commerce", "cost")
 
 
 def load_all() -> None:
