@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("commerce", "cost")
+AREAS = ("commerce", "cost", "runs")
 
 
 def load_all() -> None:
