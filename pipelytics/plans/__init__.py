@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("commerce", "cost", "runs")
+AREAS = ("commerce", "cost", "runs", "text")
 
 
 def load_all() -> None:
