@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("commerce", "cost", "runs", "text")
+AREAS = ("commerce", "cost", "runs", "text", "graph", "requests")
 
 
 def load_all() -> None:
