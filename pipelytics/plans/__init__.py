@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("commerce", "cost", "runs", "text", "graph", "requests")
+AREAS = ("commerce", "cost", "runs", "text", "graph", "requests", "learning")
 
 
 def load_all() -> None:
