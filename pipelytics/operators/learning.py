@@ -71,8 +71,8 @@ def train_models(
     models = {
         "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed),
         "gradient_boosting": GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed),
-        "logistic_regression": LogisticRegression(maxIter=iterations),
-        "svm": LinearSVC(featuresCol="fourier", maxIter=100, regParam=0.01),
+        "logistic_regression": LogisticRegression(maxIter=iterations, tol=1e-4),
+        "svm": LinearSVC(featuresCol="fourier", maxIter=iterations, regParam=0.01, tol=1e-3),
     }
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
     scored, folds = None, []

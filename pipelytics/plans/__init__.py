@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("commerce", "cost", "runs", "text", "graph", "requests", "learning")
+AREAS = ("commerce", "cost", "runs", "text", "graph", "requests", "learning", "streams")
 
 
 def load_all() -> None:

@@ -74,7 +74,7 @@ def stratified_split(t):
 @plan("train_models")
 def train_models(t):
     columns = ["chars", "words", "word_length", "digit_share", "newlines"]
-    return l.train_models(t.labelled_v, "doc_id", "label", columns)
+    return l.train_models(t.labelled_v, "doc_id", "label", columns, trees=20)
 
 
 @plan("classification_report", """
