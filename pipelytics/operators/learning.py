@@ -20,11 +20,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .features import stratified_split
 from .metrics import binary_metrics
 
 FOLDS = 5
-ROWS_PER_PARTITION = 20_000
 
 
 def _fourier(df: DataFrame, column: str, width: int, seed: int, size: int = 200) -> DataFrame:
@@ -61,12 +61,13 @@ def train_models(
             StandardScaler(inputCol="raw", outputCol="features", withMean=True),
         ]
     ).fit(split.where("not is_test"))
-    ready = _fourier(prepare.transform(split), "features", len(features), seed).select(
-        key, "label", "fold", "is_test", "features", "fourier"
+    # Written once: every fold and model reads the same rows, with a short lineage.
+    ready = materialise(
+        _fourier(prepare.transform(split), "features", len(features), seed).select(
+            key, "label", "fold", "is_test", "features", "fourier"
+        ),
+        "training",
     )
-    # Every boosting round is a few jobs over these rows; nearly empty partitions
-    # would spend it on task start-up.
-    ready = ready.coalesce(max(1, split.count() // ROWS_PER_PARTITION)).persist()
     train, test = ready.where("not is_test"), ready.where("is_test")
     models = {
         "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed),
@@ -88,10 +89,7 @@ def train_models(
         scored = out if scored is None else scored.unionAll(out)
     cv = rows.sparkSession.createDataFrame(folds, "model string, ordinal int, cv_mean double, cv_std double")
     result = binary_metrics(scored, "model").join(cv, "model")
-    # The four rows are wanted while the training rows are still in memory.
-    report = rows.sparkSession.createDataFrame(result.collect(), result.schema)
-    ready.unpersist()
-    return report
+    return result
 
 
 # ---- isolation forest ----------------------------------------------------
