@@ -23,7 +23,11 @@ def filter_status(df: DataFrame, status: str = "completed") -> DataFrame:
 def extract_orders(
     customers: DataFrame, orders: DataFrame, items: DataFrame, as_of: datetime, days: int
 ) -> DataFrame:
-    """Recent completed orders with their customer and lines, newest first."""
+    """Recent completed orders with their customer and lines, newest first.
+
+    Order and product settle equal dates, which also lets the sort spread a day
+    with many orders over several tasks.
+    """
     recent = filter_status(filter_lookback(orders, "order_date", as_of, days))
     return (
         recent.join(customers.select("customer_id", "name", "segment"), "customer_id")
@@ -32,7 +36,7 @@ def extract_orders(
             "customer_id", "name", "segment", "order_id", "order_date", "total_amount",
             "product_id", "quantity", "unit_price",
         )
-        .orderBy(F.desc("order_date"))
+        .orderBy(F.desc("order_date"), "order_id", "product_id")
     )
 
 

@@ -65,12 +65,19 @@ def _viable(quotes: Column, max_total: float, min_reliability: float) -> Column:
     )
 
 
-def _scored(quotes: Column, w: float) -> Column:
+def _with_cost_range(quoted: DataFrame) -> DataFrame:
+    """Add the lowest and highest cost as one column, so each row finds them once."""
+    costs = F.transform("quotes", lambda q: q["total_cost"])
+    return quoted.withColumn(
+        "_range", F.struct(F.array_min(costs).alias("low"), F.array_max(costs).alias("high"))
+    )
+
+
+def _scored(w: float) -> Column:
     """Offers with a score: cheap within their requirement, and reliable."""
-    costs = F.transform(quotes, lambda q: q["total_cost"])
-    low, high = F.array_min(costs), F.array_max(costs)
+    low, high = F.col("_range.low"), F.col("_range.high")
     return F.transform(
-        quotes,
+        "quotes",
         lambda q: F.struct(
             (
                 F.lit(w) * (1.0 - (q["total_cost"] - low) / (high - low + 0.001))
@@ -152,7 +159,7 @@ def score_quotes(
     quoted = _filled(requirements).select(
         "req_id", _offers(multi_cloud, spot, INFINITE).alias("quotes")
     )
-    return quoted.select("req_id", F.inline(_scored(F.col("quotes"), w))).drop("rank_tie")
+    return _with_cost_range(quoted).select("req_id", F.inline(_scored(w))).drop("rank_tie")
 
 
 def optimize_resources(
@@ -170,9 +177,8 @@ def optimize_resources(
         _baseline().alias("baseline_cost"),
         _viable(_offers(multi_cloud, spot, max_hourly), max_total, min_reliability).alias("quotes"),
     )
-    ranked = quoted.select(
-        "req_id", "baseline_cost",
-        F.sort_array(_scored(F.col("quotes"), w), asc=False).alias("ranked"),
+    ranked = _with_cost_range(quoted).select(
+        "req_id", "baseline_cost", F.sort_array(_scored(w), asc=False).alias("ranked")
     ).withColumn("best", F.get("ranked", F.lit(0)))
     best = lambda name: F.col(f"best.{name}")
     found = F.col("best").isNotNull()

@@ -80,7 +80,7 @@ def train_models(
     for ordinal, (name, model) in enumerate(models.items()):
         fitted = CrossValidator(
             estimator=model, estimatorParamMaps=ParamGridBuilder().build(), evaluator=accuracy,
-            numFolds=FOLDS, foldCol="fold", parallelism=FOLDS,
+            numFolds=FOLDS, foldCol="fold",
         ).fit(train)
         folds.append((name, ordinal, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])))
         out = fitted.bestModel.transform(test).select(

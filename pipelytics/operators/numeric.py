@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _UNIT = 1e9
+MATRICES_HELD = 1000
 
 
 def batch_score_median(vectors: DataFrame, batch: int = 1000) -> DataFrame:
@@ -40,6 +41,11 @@ def gram_matrix(vectors: DataFrame, block: str) -> DataFrame:
     Products are held as whole billionths, which makes the sums exact.
     """
 
+    def rows_of(sums: dict) -> Iterator[pd.DataFrame]:
+        for key, total in sums.items():
+            i, j = np.triu_indices(len(total))
+            yield pd.DataFrame({block: key, "i": i + 1, "j": j + 1, "units": total[i, j]})
+
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for part in parts:
@@ -50,9 +56,10 @@ def gram_matrix(vectors: DataFrame, block: str) -> DataFrame:
                     y = x[start : start + 512]
                     units = np.rint(y[:, :, None] * y[:, None, :] * _UNIT).astype("int64").sum(axis=0)
                     sums[key] = sums[key] + units if key in sums else units
-        for key, total in sums.items():
-            i, j = np.triu_indices(len(total))
-            yield pd.DataFrame({block: key, "i": i + 1, "j": j + 1, "units": total[i, j]})
+            if len(sums) > MATRICES_HELD:
+                yield from rows_of(sums)
+                sums = {}
+        yield from rows_of(sums)
 
     kind = vectors.schema[block].dataType.simpleString()
     cells = vectors.select(block, "embedding").mapInPandas(

@@ -122,7 +122,8 @@ def stream_model_metrics(t):
 
 @plan("stream_circuit_breaker")
 def stream_circuit_breaker(t):
-    runs = _live(t).task_runs_v.withColumn("task", F.concat_ws("/", "dag_id", "task_id"))
+    live = StreamTables(t.spark, t.folder, 512 << 20)
+    runs = live.task_runs_v.withColumn("task", F.concat_ws("/", "dag_id", "task_id"))
     return run_append(j.stream_circuit_breaker(runs, "task", 2, 6 * 3600.0), "breaker")
 
 

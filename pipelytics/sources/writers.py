@@ -84,11 +84,11 @@ def daily_summary(revenue: DataFrame) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: str, codec: str = "zstd") -> None:
     """Write one folder per value of ``by``; only the folders present in ``df`` are replaced.
 
-    Rows are spread by the partition value and by a hash of the row, so a value
-    with most of the rows is written by many tasks.
+    Rows of a value are brought together to avoid a file per task and value; a
+    value with most of the rows is split again by adaptive execution.
     """
     (
-        df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        df.hint("rebalance", by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", codec)

@@ -161,8 +161,9 @@ def stream_circuit_breaker(
     Closed until ``failures`` straight failures, then open. While open, calls
     are ignored until ``cooldown_s`` has passed; the next call is a trial
     (half-open) that closes the breaker if it succeeds and opens it again if
-    it fails. Calls of one micro-batch are put in time order first; the file
-    limit of the stream bounds how many there are.
+    it fails. Calls of one micro-batch are put in time order first. Open the
+    stream with a small ``batch_bytes``: it bounds the calls of the busiest task
+    that one worker has to sort.
     """
     micros = int(cooldown_s * 1_000_000)
 

@@ -15,21 +15,23 @@ from ..views import TABLES, Tables
 class StreamTables(Tables):
     """Stored tables as file streams, and the views over them."""
 
+    def __init__(self, spark: SparkSession, folder: str, batch_bytes: int = 16 << 30):
+        super().__init__(spark, folder)
+        self.batch_bytes = batch_bytes
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
             # As a pattern, the path may be a single file as well as a folder.
-            return open_stream(self.spark, f"{self.folder}/{{{name}}}.parquet", schema)
+            return open_stream(self.spark, f"{self.folder}/{{{name}}}.parquet", schema, self.batch_bytes)
         return super().__getattr__(name)
 
 
 def open_stream(
-    spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000
+    spark: SparkSession, path: str, schema: StructType, batch_bytes: int = 16 << 30
 ) -> DataFrame:
-    """A stream over a parquet file or folder; the limit bounds every micro-batch."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+    """A stream over a parquet file or folder; ``batch_bytes`` bounds every micro-batch."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
 def with_event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
