@@ -1 +1,8 @@
 """Analytics for data-pipeline teams, written as plain Spark DataFrame code."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -193,7 +193,9 @@ def summary_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return F.struct(
             F.lit(c).alias("column_name"),
             F.round(mean, 6).alias("mean"),
-            F.round(F.sqrt(F.greatest(variance, F.lit(0.0))), 6).alias("std"),
+            F.round(
+                F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0)))), 6
+            ).alias("std"),
             F.col(f"max_{c}").alias("max"),
             F.col(f"min_{c}").alias("min"),
         )

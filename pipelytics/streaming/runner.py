@@ -43,10 +43,15 @@ def plain_time(column: str) -> F.Column:
     return F.col(column).cast("timestamp_ntz")
 
 
-def run_append(df: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Run to the end of the input into a parquet folder, and read that folder."""
+def run_append(
+    df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None
+) -> DataFrame:
+    """Run to the end of the input into a parquet folder, and read that folder.
+
+    A query that resumes from a checkpoint must keep writing to the same folder.
+    """
     spark = df.sparkSession
-    out = scratch_path(spark, name)
+    out = out or scratch_path(spark, name)
     query = (
         df.writeStream.outputMode("append")
         .format("parquet")
