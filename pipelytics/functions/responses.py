@@ -88,39 +88,40 @@ def found_field(text: Column, name: str) -> Column:
     )
 
 
-def found_tasks(text: Column) -> Column:
-    """Tasks read by pattern: full triples, else loose blocks, else a fixed chain for data work."""
+def task_triples(text: Column) -> Column:
+    """Tasks whose id, operator and description follow each other."""
     part = lambda i: F.regexp_extract_all(text, F.lit(TASK_PATTERN), F.lit(i))
-    triples = F.transform(
+    return F.transform(
         F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")),
         lambda z: task(z["a"], z["b"], z["c"]),
     )
-    blocks = F.filter(
-        F.regexp_extract_all(text, F.lit(BLOCK_PATTERN), F.lit(0)), lambda b: b.rlike(BLOCK_ID)
-    )
 
-    def loose(b: Column) -> Column:
-        name = F.regexp_extract(b, BLOCK_ID, 1)
-        return task(
-            name,
-            F.when(b.rlike(BLOCK_OPERATOR), F.regexp_extract(b, BLOCK_OPERATOR, 1)).otherwise(
-                DEFAULT_OPERATOR
-            ),
-            F.when(
-                b.rlike(BLOCK_DESCRIPTION), F.regexp_extract(b, BLOCK_DESCRIPTION, 1)
-            ).otherwise(F.concat(F.lit("Task: "), name)),
-        )
 
+def task_blocks(text: Column) -> Column:
+    """Braced pieces of text that hold a task id."""
+    found = F.regexp_extract_all(text, F.lit(BLOCK_PATTERN), F.lit(0))
+    return F.filter(found, lambda b: b.rlike(BLOCK_ID))
+
+
+def loose_task(block: Column) -> Column:
+    """A task from whatever fields a block has."""
+    name = F.regexp_extract(block, BLOCK_ID, 1)
+    operator = F.when(
+        block.rlike(BLOCK_OPERATOR), F.regexp_extract(block, BLOCK_OPERATOR, 1)
+    ).otherwise(DEFAULT_OPERATOR)
+    description = F.when(
+        block.rlike(BLOCK_DESCRIPTION), F.regexp_extract(block, BLOCK_DESCRIPTION, 1)
+    ).otherwise(F.concat(F.lit("Task: "), name))
+    return task(name, operator, description)
+
+
+def default_tasks(text: Column) -> Column:
+    """A fixed chain if the text is about data work, else nothing."""
     chain = F.array(
         *[task(F.lit(n), F.lit(DEFAULT_OPERATOR), F.lit(d)) for n, d in DEFAULT_CHAIN]
     )
     data_work = any_of([F.lower(text).contains(w) for w in DATA_WORDS])
-    return (
-        F.when(F.size(triples) > 0, triples)
-        .when(F.size(blocks) > 0, F.transform(blocks, loose))
-        .when(data_work, chain)
-        .otherwise(F.array().cast(f"array<{TASK_TYPE}>"))
-    )
+    return F.when(data_work, chain).otherwise(F.array().cast(f"array<{TASK_TYPE}>"))
 
 
 def chained(tasks: Column) -> Column:

@@ -257,4 +257,9 @@ def recommended(task_type: Column, available: Sequence[str]) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(spaced_words(text))
+    parts = F.split(text, SPACE)
+    n = F.size(parts)
+    # Space at an end leaves an empty part there.
+    blank_first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
+    blank_last = F.when((n > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return n - blank_first - blank_last

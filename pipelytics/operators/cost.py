@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as p
 from ..functions.exact import money_sum
+from ..functions.unnest import unnest
 from .ordered import running_sums
 
 INFINITE = float("inf")
@@ -24,41 +25,64 @@ def memory_to_gb(df: DataFrame, column: str) -> DataFrame:
 
 
 def _filled(requirements: DataFrame) -> DataFrame:
-    return requirements.select(
+    """Add sizes with defaults, and the full hourly price at each provider.
+
+    The prices are columns of their own, as several offers derive from each.
+    """
+    sized = requirements.select(
         "*",
         F.coalesce("cpu", F.lit(p.DEFAULT_CPU)).alias("_cpu"),
         p.memory_gb(F.coalesce("memory", F.lit(p.DEFAULT_MEMORY))).alias("_gb"),
         (F.coalesce("estimated_runtime", F.lit(p.DEFAULT_RUNTIME)) / 3600).alias("_hours"),
     )
+    return sized.select(
+        "*",
+        *[
+            p.base_price(F.lit(n), F.col("_cpu"), F.col("_gb"), F.col("gpu")).alias(f"_full_{n}")
+            for n in p.PROVIDERS
+        ],
+    )
 
 
-def _offers(multi_cloud: bool, spot: bool, max_hourly: float) -> Column:
-    """All offers for the current row, in the order in which ties are resolved."""
+def _catalogue(multi_cloud: bool, spot: bool) -> list[tuple[str, str]]:
+    """Providers and instance types on offer, in the order in which ties are resolved."""
     providers = [n for n in p.PROVIDERS if multi_cloud or n != "coreweave"]
     kinds = ["on_demand", "spot"] if spot else ["on_demand"]
-    offers, ordinal = [], 0
-    for provider in providers:
-        for kind in kinds:
-            hourly = p.hourly_price(
-                F.lit(provider), F.lit(kind), F.col("_cpu"), F.col("_gb"), F.col("gpu")
-            )
-            offers.append(
-                F.struct(
-                    F.lit(ordinal).alias("ordinal"),
-                    F.lit(provider).alias("provider"),
-                    F.lit(kind).alias("instance_type"),
-                    hourly.alias("hourly_cost"),
-                    (hourly * F.col("_hours")).alias("total_cost"),
-                    p.reliability(F.lit(provider), F.lit(kind)).alias("reliability"),
-                    F.lit(f"{provider}-us-west-2a").alias("zone"),
-                )
-            )
-            ordinal += 1
+    return [(provider, kind) for provider in providers for kind in kinds]
+
+
+def _hourly(provider: str, kind: str) -> Column:
+    full = F.col(f"_full_{provider}")
+    return full * p.PRICE_FACTOR[kind] if kind in p.PRICE_FACTOR else full
+
+
+def _offers(multi_cloud: bool, spot: bool, max_hourly: float) -> Column:
+    """All offers for the current row."""
+    offers = [
+        F.struct(
+            F.lit(ordinal).alias("ordinal"),
+            F.lit(provider).alias("provider"),
+            F.lit(kind).alias("instance_type"),
+            _hourly(provider, kind).alias("hourly_cost"),
+            (_hourly(provider, kind) * F.col("_hours")).alias("total_cost"),
+            p.reliability(F.lit(provider), F.lit(kind)).alias("reliability"),
+            F.lit(f"{provider}-us-west-2a").alias("zone"),
+        )
+        for ordinal, (provider, kind) in enumerate(_catalogue(multi_cloud, spot))
+    ]
     return F.filter(
         F.array(*offers), lambda q: (q["hourly_cost"] > 0) & (q["hourly_cost"] <= max_hourly)
     )
 
 
+def _cheapest(multi_cloud: bool, spot: bool, max_hourly: float) -> Column:
+    """Lowest total cost among the offers for the current row; null without an offer."""
+    prices = [_hourly(*offer) for offer in _catalogue(multi_cloud, spot)]
+    return F.least(
+        *[F.when((h > 0) & (h <= max_hourly), h * F.col("_hours")) for h in prices]
+    )
+
+
 def _viable(quotes: Column, max_total: float, min_reliability: float) -> Column:
     return F.filter(
         quotes, lambda q: (q["total_cost"] <= max_total) & (q["reliability"] >= min_reliability)
@@ -101,10 +125,8 @@ def gather_quotes(
     max_hourly: float = INFINITE,
 ) -> DataFrame:
     """One row per requirement and offer."""
-    return _filled(requirements).select(
-        "req_id", "cpu", "memory", "gpu", "estimated_runtime",
-        F.inline(_offers(multi_cloud, spot, max_hourly)),
-    )
+    keep = ["req_id", "cpu", "memory", "gpu", "estimated_runtime"]
+    return unnest(_filled(requirements), keep, _offers(multi_cloud, spot, max_hourly), "ordinal")
 
 
 def filter_quotes(
@@ -129,8 +151,7 @@ def gpu_rate_lookup(
 
 
 def _baseline() -> Column:
-    full = p.base_price(F.lit("aws"), F.col("_cpu"), F.col("_gb"), F.col("gpu"))
-    return full * F.col("_hours")
+    return F.col("_full_aws") * F.col("_hours")
 
 
 def _savings(baseline: Column, cost: Column) -> Column:
@@ -141,8 +162,9 @@ def quote_vs_baseline(
     requirements: DataFrame, multi_cloud: bool = True, spot: bool = True
 ) -> DataFrame:
     """Savings of each offer against the on-demand price of the first provider."""
-    quoted = _filled(requirements).select(
-        "req_id", _baseline().alias("baseline_cost"), F.inline(_offers(multi_cloud, spot, INFINITE))
+    quoted = unnest(
+        _filled(requirements), ["req_id", _baseline().alias("baseline_cost")],
+        _offers(multi_cloud, spot, INFINITE), "ordinal",
     )
     # greatest() skips nulls, so a zero baseline is handled apart.
     return quoted.withColumn(
@@ -159,7 +181,7 @@ def score_quotes(
     quoted = _filled(requirements).select(
         "req_id", _offers(multi_cloud, spot, INFINITE).alias("quotes")
     )
-    return _with_cost_range(quoted).select("req_id", F.inline(_scored(w))).drop("rank_tie")
+    return unnest(_with_cost_range(quoted), ["req_id"], _scored(w), "ordinal").drop("rank_tie")
 
 
 def optimize_resources(
@@ -218,21 +240,20 @@ def schedule_budget(
     costs at least as much as the one that no longer fits. Costs are decimals,
     so the comparison with the budget is exact.
     """
-    cheapest = F.array_min(F.transform(_offers(multi_cloud, spot, max_hourly), lambda q: q["total_cost"]))
-    costs = (
-        _filled(tasks)
-        .select(
-            "pool", "req_id",
-            F.coalesce("estimated_runtime", F.lit(p.DEFAULT_RUNTIME)).alias("runtime"),
-            cheapest.cast("decimal(18,9)").alias("cost"),
-        )
-        .where(F.col("cost").isNotNull())
+    costs = _filled(tasks).select(
+        "pool", "req_id",
+        F.coalesce("estimated_runtime", F.lit(p.DEFAULT_RUNTIME)).alias("runtime"),
+        _cheapest(multi_cloud, spot, max_hourly).cast("decimal(18,9)").alias("cost"),
     )
+    # Tasks without an offer sort first and add nothing; they are dropped after the
+    # sums, where the test reads a stored column instead of pricing them again.
+    priced = F.col("cost").isNotNull()
     spent = running_sums(
         costs, ["pool"], ["cost", "req_id"],
-        {"spent": F.col("cost"), "elapsed": F.col("runtime")}, segments,
+        {"spent": F.col("cost"), "elapsed": F.when(priced, F.col("runtime"))}, segments,
     )
-    return spent.where(F.col("spent") <= F.lit(str(budget)).cast("decimal(38,9)")).select(
+    within = F.col("spent") <= F.lit(str(budget)).cast("decimal(38,9)")
+    return spent.where(priced & within).select(
         "pool", "req_id", F.col("cost").cast("double").alias("cost"), "runtime",
         F.col("spent").cast("double").alias("spent"),
         (

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import fine_mean, fine_sum, share
-from ..functions.text import spaced_words
+from ..functions.unnest import unnest
 from .ordered import exact_quantiles, row_numbers
 
 # Labels of the credit score bands, lowest first.
@@ -129,7 +129,8 @@ def feature_drift(
             F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin")))
             for c in columns
         ]
-        return df.select(F.inline(F.array_compact(F.array(*cells)))).withColumn("side", F.lit(side))
+        found = F.array_compact(F.array(*cells))
+        return unnest(df, [], found, "feature").withColumn("side", F.lit(side))
 
     counts = (
         binned(reference, 0)
@@ -147,27 +148,29 @@ def feature_drift(
     )
 
 
-def sentiment_score(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+def sentiment_score(
+    documents: DataFrame, lexicon: DataFrame, broadcast_words: int = 100_000
+) -> DataFrame:
     """Share of positive minus share of negative words among the listed words of a document.
 
-    Words are counted per document before the join, so a frequent word moves as
-    one row per document.
+    A lexicon of at most ``broadcast_words`` entries is sent to every task, which
+    then keeps only listed words. With a larger one, words are first counted per
+    document, so that a frequent word meets the join once per document.
     """
-    words = documents.select("doc_id", F.explode(_words(F.col("text"))).alias("word"))
-    counted = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    scored = (
-        counted.join(lexicon, "word")
-        .groupBy("doc_id")
-        .agg(F.sum("n").alias("hits"), F.sum(F.col("n") * F.col("polarity")).alias("balance"))
+    # The outer form keeps the optimizer from splitting every text twice.
+    words = documents.select(
+        "doc_id", F.explode_outer(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
+    )
+    if lexicon.limit(broadcast_words + 1).count() <= broadcast_words:
+        found = words.join(F.broadcast(lexicon), "word").withColumn("n", F.lit(1))
+    else:
+        counted = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+        found = counted.join(lexicon, "word")
+    scored = found.groupBy("doc_id").agg(
+        F.sum("n").alias("hits"), F.sum(F.col("n") * F.col("polarity")).alias("balance")
     )
     return documents.select("doc_id").join(scored, "doc_id", "left").select(
         "doc_id",
         F.coalesce("hits", F.lit(0)).alias("hits"),
         (F.col("balance").cast("double") / F.col("hits")).alias("sentiment"),
     )
-
-
-def _words(text: Column) -> Column:
-    """Lower-case runs of letters."""
-    return spaced_words(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
-

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exact import money_sum
+from ..functions.unnest import unnest
 from ..session import scratch_path
 from .ordered import with_preceding
 
@@ -26,9 +27,8 @@ def threshold_alerts(task_runs: DataFrame, limits: Mapping[str, float]) -> DataF
         )
         for c, limit in limits.items()
     ]
-    return task_runs.select(
-        "attempt_id", "dag_id", "task_id", F.inline(F.array_compact(F.array(*checks)))
-    )
+    found = F.array_compact(F.array(*checks))
+    return unnest(task_runs, ["attempt_id", "dag_id", "task_id"], found, "metric")
 
 
 def observed_metrics(df: DataFrame, checks: Mapping[str, Column], name: str = "checks") -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..functions.unnest import unnest
 
 
 def split_steps(descriptions: DataFrame) -> DataFrame:
-    return descriptions.select("doc_id", F.inline(x.steps(F.col("text"))))
+    return unnest(descriptions, ["doc_id"], x.steps(F.col("text")), "idx")
 
 
 def classify_steps(steps: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ def step_dependencies(descriptions: DataFrame) -> DataFrame:
             ).alias("depends_on"),
         ),
     )
-    return descriptions.select("doc_id", described.alias("_steps")).select("doc_id", F.inline(linked))
+    stepped = descriptions.select("doc_id", described.alias("_steps"))
+    return unnest(stepped, ["doc_id"], linked, "idx")
 
 
 def _stage_flags(text: Column, stages) -> Column:
@@ -97,9 +99,10 @@ def keyword_stages(descriptions: DataFrame) -> DataFrame:
             F.coalesce(F.get("_chain", i - 1)["task"], F.lit("none")).alias("depends_on"),
         ),
     )
-    return descriptions.select(
+    stages = descriptions.select(
         "doc_id", F.concat(marker("init"), found, marker("done")).alias("_chain")
-    ).select("doc_id", F.inline(chained))
+    )
+    return unnest(stages, ["doc_id"], chained, "pos")
 
 
 def stage_fallback(descriptions: DataFrame) -> DataFrame:
@@ -121,9 +124,9 @@ def stage_fallback(descriptions: DataFrame) -> DataFrame:
             F.col("text").alias("description"),
         )
     )
-    return descriptions.select("doc_id", "text", numbered.alias("_found")).select(
-        "doc_id", F.inline(F.when(F.size("_found") > 0, F.col("_found")).otherwise(generic))
-    )
+    staged = descriptions.select("doc_id", "text", numbered.alias("_found"))
+    tasks = F.when(F.size("_found") > 0, F.col("_found")).otherwise(generic)
+    return unnest(staged, ["doc_id"], tasks, "name")
 
 
 def default_tasks(descriptions: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ def default_tasks(descriptions: DataFrame) -> DataFrame:
         .when(x.has_any(low, x.MODEL_WORDS), linked(x.MODEL_CHAIN))
         .otherwise(F.array(entry("execute_task", F.col("text"), None)))
     )
-    return descriptions.select("doc_id", F.inline(tasks))
+    return unnest(descriptions, ["doc_id"], tasks, "task_id")
 
 
 def operator_and_resources(tasks: DataFrame) -> DataFrame:

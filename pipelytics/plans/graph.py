@@ -95,7 +95,7 @@ def extract_workflow_fields(t):
     from guessed""")
 def chain_missing_dependencies(t):
     chained = r.chain_missing_dependencies(r.extract_workflow_fields(t.llm_responses_v))
-    return chained.select("response_id", F.posexplode("tasks")).select(
+    return chained.select("response_id", F.posexplode_outer("tasks")).where("pos is not null").select(
         "response_id", "pos", "col.id", F.get("col.upstream_dependencies", F.lit(0)).alias("upstream")
     )
 
