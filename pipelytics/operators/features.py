@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import fine_mean, fine_sum, share
 from ..functions.unnest import unnest
-from .ordered import exact_quantiles, row_numbers
+from .ordered import exact_quantiles, running_sums
 
 # Labels of the credit score bands, lowest first.
 BANDS = ("Poor", "Fair", "Good", "Very Good", "Excellent")
@@ -99,13 +99,12 @@ def stratified_split(
     ``place`` is the row's place within its class in hash order, from 1.
     """
     digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    placed = row_numbers(df.withColumn("_h", digest), [label], ["_h", key], "place", segments)
-    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        placed.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
-        .withColumn("is_test", F.col("place") <= F.floor(F.col("_n") * F.lit(test_share)))
-        .drop("_h", "_label", "_n")
+    placed = running_sums(
+        df.withColumn("_h", digest), [label], ["_h", key],
+        {"place": F.lit(1).cast("bigint")}, segments, totals=True,
     )
+    test_rows = F.floor(F.col("place_total") * F.lit(test_share))
+    return placed.withColumn("is_test", F.col("place") <= test_rows).drop("_h", "place_total")
 
 
 def feature_drift(

@@ -39,8 +39,9 @@ def running_sums(
     order: Sequence[str],
     sums: Mapping[str, Column],
     segments: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums per key.
+    """Add inclusive running sums per key, and with ``totals`` a key's sum as ``<name>_total``.
 
     Sum per segment, run over the few segment totals of a key, then add each
     segment's starting point to a window that is local to the segment.
@@ -48,18 +49,16 @@ def running_sums(
     for name, expr in sums.items():
         df = df.withColumn(f"_in_{name}", expr)
     staged = range_segments(df, keys, order, segments)
-    totals = staged.groupBy(*keys, _SEG).agg(
+    per_segment = staged.groupBy(*keys, _SEG).agg(
         *[F.sum(f"_in_{name}").alias(f"_tot_{name}") for name in sums]
     )
-    earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(_SEG)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = totals.select(
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = whole.orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_segment.select(
         *[F.col(k).alias(f"_s_{k}") for k in keys],
         F.col(_SEG).alias("_s_seg"),
         *[F.sum(f"_tot_{name}").over(earlier).alias(f"_before_{name}") for name in sums],
+        *[F.sum(f"_tot_{name}").over(whole).alias(f"{name}_total") for name in sums if totals],
     )
     within = (
         Window.partitionBy(*keys, _SEG)
@@ -78,6 +77,7 @@ def running_sums(
             (F.coalesce(F.col(f"_before_{name}"), F.lit(0)) + F.col(f"_local_{name}")).alias(name)
             for name in sums
         ],
+        *[f"{name}_total" for name in sums if totals],
     )
 
 
@@ -144,18 +144,10 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cum = running_sums(counts, keys, ["_v"], {"_upto": F.col("_n")}, segments)
-    totals = counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(
-        F.sum("_n").alias("_total")
-    )
-    if keys:
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
-        ranked = cum.join(totals, same)
-    else:
-        ranked = cum.withColumn("_total", totals.scalar())
+    ranked = running_sums(counts, keys, ["_v"], {"_upto": F.col("_n")}, segments, totals=True)
     aggs = []
     for name, p in probs.items():
-        rank = (F.col("_total") - 1) * F.lit(float(p))
+        rank = (F.col("_upto_total") - 1) * F.lit(float(p))
         low, high = F.floor(rank), F.ceil(rank)
         at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
         aggs.append(

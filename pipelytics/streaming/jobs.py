@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.exact import fine_mean, fine_sum, share
+from ..functions.exact import fine_mean, fine_sum, moment_like, share
 from ..operators.recovery import fix_plan
 from ..session import scratch_path
 from ..sources.writers import read_latest, upsert_customer_metrics
@@ -86,7 +86,7 @@ def stream_late_data(
             .first()[0]
         ) or 0
         arrived = spark.read.schema(schema).parquet(f"{inbox}/chunk={n}")
-        is_late = F.lit(False) if newest is None else F.col("ts") < F.lit(newest)
+        is_late = F.lit(False) if newest is None else F.col("ts") < moment_like(newest, chunk, "ts")
         rows, late, top = arrived.agg(
             F.count(F.lit(1)), F.count_if(is_late), F.max("ts")
         ).first()
