@@ -367,12 +367,26 @@ def distinct_profile(t):
     return q.distinct_profile(t.lineitem, _PROFILED).drop("approx_distinct")
 
 
-@plan("type_profile")
+_LINE_TYPES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
+    "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+    "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+}
+
+
+@plan("type_profile", " union all ".join(
+    f"select cast({i} as int) as position, '{n}' as column_name, '{k}' as logical_type, "
+    f"count({n}) as filled_rows from lineitem" for i, (n, k) in enumerate(_LINE_TYPES.items())))
 def type_profile(t):
     return q.type_profile(t.lineitem)
 
 
-@plan("schema_diff")
+@plan("schema_diff", """
+    select 'o_custkey' as column_name, 'int' as expected_type, 'bigint' as found_type, 'retyped' as change,
+           count(o_custkey) as filled_rows from orders
+    union all select 'o_totalprice', 'decimal(18,2)', 'double', 'retyped', count(o_totalprice) from orders
+    union all select 'o_clerk', 'string', null, 'missing', null
+    union all select 'o_orderpriority', null, 'string', 'extra', count(o_orderpriority) from orders""")
 def schema_diff(t):
     expected = [
         ("o_orderkey", "bigint"), ("o_custkey", "int"), ("o_orderstatus", "string"),

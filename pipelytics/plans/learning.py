@@ -217,9 +217,20 @@ def svd_summary(t):
     return n.svd_summary(t.embeddings, 5)
 
 
-@plan("series_spectrum")
+@plan("series_spectrum", """
+    with p as (select user_id, hour - min(hour) over (partition by user_id) as n, total from series_v),
+    s as (select user_id, max(n) + 1 as points from p group by 1),
+    k as (select user_id, points, unnest(range(points)) as k from s),
+    m as (select user_id, points, k, sqrt(pow(sum(total * cos(2 * pi() * (k * n % points) / points)), 2)
+                                        + pow(sum(total * sin(2 * pi() * (k * n % points) / points)), 2)) as size
+          from k join p using (user_id) group by 1, 2, 3)
+    select user_id, points, round(avg(size), 4) as mean, round(stddev_pop(size), 4) as std,
+           round(max(size), 4) as max, round(min(size), 4) as min from m group by 1, 2""")
 def series_spectrum(t):
-    return n.series_spectrum(t.series_v, "user_id", "hour", "total")
+    spectra = n.series_spectrum(t.series_v, "user_id", "hour", "total")
+    return spectra.select(
+        "user_id", "points", *[F.round(c, 4).alias(c) for c in ("mean", "std", "max", "min")]
+    )
 
 
 @plan("latency_percentiles", """

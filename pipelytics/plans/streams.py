@@ -120,7 +120,27 @@ def stream_model_metrics(t):
     return run_complete(j.stream_model_metrics(_live(t).llm_requests_v), "models")
 
 
-@plan("stream_circuit_breaker")
+@plan("stream_circuit_breaker", """
+    with recursive c as (
+        select dag_id || '/' || task_id as task, start_ts as ts, state = 'success' as ok,
+               row_number() over (partition by dag_id, task_id order by start_ts, attempt_id) as rn
+        from task_runs_v),
+    w as (
+        select task, rn, ts, false as is_open, case when ok then 0 else 1 end as straight, ts as since,
+               0 as what from c where rn = 1
+        union all
+        select task, rn, ts,
+               case when blocked then true when was_open then not ok else not ok and straight >= 1 end,
+               case when blocked then straight when was_open or ok or straight >= 1 then 0 else straight + 1 end,
+               case when not blocked and not ok and (was_open or straight >= 1) then ts else since end,
+               case when blocked then 0 when was_open then case when ok then 2 else 3 end
+                    when not ok and straight >= 1 then 1 else 0 end
+        from (select c.task, c.rn, c.ts, c.ok, w.is_open as was_open, w.straight, w.since,
+                     w.is_open and c.ts < w.since + interval 6 hours as blocked
+              from w join c on c.task = w.task and c.rn = w.rn + 1))
+    select task, ts, 'open' as state from w where what in (1, 3)
+    union all select task, ts, 'half_open' from w where what in (2, 3)
+    union all select task, ts, 'closed' from w where what = 2""")
 def stream_circuit_breaker(t):
     live = StreamTables(t.spark, t.folder, 512 << 20)
     runs = live.task_runs_v.withColumn("task", F.concat_ws("/", "dag_id", "task_id"))
