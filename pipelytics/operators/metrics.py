@@ -16,11 +16,15 @@ def classification_report(predictions: DataFrame) -> DataFrame:
     empty denominator gives 0.
     """
     pairs = predictions.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    right = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
-    sides = F.array(
-        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("chosen"), right.alias("hit")),
-        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("chosen"), F.lit(0).cast("bigint").alias("hit")),
-    )
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    right = F.when(F.col("label") == F.col("prediction"), n).otherwise(none)
+
+    def side(name, support, chosen, hit):
+        return F.struct(
+            F.col(name).alias("class"), support.alias("support"), chosen.alias("chosen"), hit.alias("hit")
+        )
+
+    sides = F.array(side("label", n, none, right), side("prediction", none, n, none))
     per_class = pairs.select(F.inline(sides)).groupBy("class").agg(
         F.sum("support").alias("support"), F.sum("chosen").alias("chosen"), F.sum("hit").alias("hit")
     )

@@ -39,10 +39,6 @@ def with_event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def plain_time(column: str) -> F.Column:
-    return F.col(column).cast("timestamp_ntz")
-
-
 def run_append(
     df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None
 ) -> DataFrame:

@@ -148,6 +148,40 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert session.scratch_root(spark)
 
 
+def test_clearing_removes_only_own_steps(tmp_path):
+    class Recorder:
+        deleted = []
+
+        def __init__(self, path=None):
+            self.path = path
+
+        def getFileSystem(self, conf):
+            return self
+
+        def delete(self, path, recursive):
+            self.deleted.append((path.path, recursive))
+
+    class Spark:
+        class conf:
+            get = staticmethod(lambda *a: "hdfs://shared/")
+
+        class sparkContext:
+            applicationId = "app-1"
+
+        class _jsc:
+            hadoopConfiguration = staticmethod(lambda: None)
+
+        class _jvm:
+            class org:
+                class apache:
+                    class hadoop:
+                        class fs:
+                            Path = Recorder
+
+    session.clear_scratch(Spark)
+    assert Recorder.deleted == [("hdfs://shared/pipelytics/app-1", True)]
+
+
 def test_run_cost_by_hand(spark):
     df = spark.createDataFrame(
         [("r", 3600.0, "a100", 4), ("r", 7200.0, "odd", 4), ("r", 1800.0, None, 4), ("r", 3600.0, None, None)],
