@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 _UNIT = 1e9
 MATRICES_HELD = 1000
+# Partial sums stay below this, well within 64 bits.
+LARGEST_SUM = 2.0**62
 
 
 def batch_score_median(vectors: DataFrame, batch: int = 1000) -> DataFrame:
@@ -48,17 +50,23 @@ def gram_matrix(vectors: DataFrame, block: str) -> DataFrame:
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
+        used = 0.0
         for part in parts:
             for key, rows in part.groupby(block):
                 x = np.stack(rows["embedding"].to_numpy()).astype("float64")
+                peak = float(np.abs(x).max()) ** 2 * _UNIT
+                if not peak < LARGEST_SUM:
+                    raise ValueError("vectors are too large or not finite; scale them first")
                 # Slices keep the row-wise products within a few dozen megabytes.
-                for start in range(0, len(x), 512):
-                    y = x[start : start + 512]
+                step = int(min(512, LARGEST_SUM // max(peak, 1.0)))
+                for start in range(0, len(x), step):
+                    y = x[start : start + step]
+                    used += peak * len(y)
+                    if used > LARGEST_SUM or len(sums) > MATRICES_HELD:
+                        yield from rows_of(sums)
+                        sums, used = {}, peak * len(y)
                     units = np.rint(y[:, :, None] * y[:, None, :] * _UNIT).astype("int64").sum(axis=0)
                     sums[key] = sums[key] + units if key in sums else units
-            if len(sums) > MATRICES_HELD:
-                yield from rows_of(sums)
-                sums = {}
         yield from rows_of(sums)
 
     kind = vectors.schema[block].dataType.simpleString()

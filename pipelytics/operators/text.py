@@ -75,10 +75,16 @@ def step_dependencies(descriptions: DataFrame) -> DataFrame:
     return unnest(stepped, ["doc_id"], linked, "idx")
 
 
-def _stage_flags(text: Column, stages) -> Column:
-    words = x.spaced_words(F.lower(text))
+def _with_words(descriptions: DataFrame) -> DataFrame:
+    """Add the words of each text as a column, split once for all stages."""
+    words = x.spaced_words(F.lower("text"))
+    return descriptions.select("doc_id", "text", words.alias("_words"))
+
+
+def _stages_named(stages) -> Column:
+    """The given stages, in order, whose words occur."""
     return F.array_compact(
-        F.array(*[F.when(F.arrays_overlap(words, x.literals(k)), s) for s, k in stages])
+        F.array(*[F.when(F.arrays_overlap("_words", x.literals(k)), s) for s, k in stages])
     )
 
 
@@ -91,7 +97,7 @@ def keyword_stages(descriptions: DataFrame) -> DataFrame:
     marker = lambda name: F.array(
         F.struct(F.lit(name).alias("task"), F.lit("dummy").alias("operator"))
     )
-    found = _stage_flags(F.col("text"), [(stage(n), words) for n, words in x.STAGES.items()])
+    found = _stages_named([(stage(n), words) for n, words in x.STAGES.items()])
     chained = F.transform(
         "_chain",
         lambda s, i: F.struct(
@@ -99,7 +105,7 @@ def keyword_stages(descriptions: DataFrame) -> DataFrame:
             F.coalesce(F.get("_chain", i - 1)["task"], F.lit("none")).alias("depends_on"),
         ),
     )
-    stages = descriptions.select(
+    stages = _with_words(descriptions).select(
         "doc_id", F.concat(marker("init"), found, marker("done")).alias("_chain")
     )
     return unnest(stages, ["doc_id"], chained, "pos")
@@ -112,7 +118,7 @@ def stage_fallback(descriptions: DataFrame) -> DataFrame:
         for name, kind, text, words in x.FALLBACK_STAGES
     ]
     numbered = F.transform(
-        _stage_flags(F.col("text"), stages),
+        _stages_named(stages),
         lambda s, i: F.struct(
             F.concat_ws("_", s["name"], (i + 1).cast("string")).alias("name"),
             s["type"].alias("type"), s["description"].alias("description"),
@@ -124,7 +130,7 @@ def stage_fallback(descriptions: DataFrame) -> DataFrame:
             F.col("text").alias("description"),
         )
     )
-    staged = descriptions.select("doc_id", "text", numbered.alias("_found"))
+    staged = _with_words(descriptions).select("doc_id", "text", numbered.alias("_found"))
     tasks = F.when(F.size("_found") > 0, F.col("_found")).otherwise(generic)
     return unnest(staged, ["doc_id"], tasks, "name")
 

@@ -20,7 +20,8 @@ def append_customer_analytics(revenue: DataFrame, path: str) -> DataFrame:
 def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target rows with matching keys replaced, and unmatched updates added.
 
-    An update without a value leaves the stored one in place.
+    An update without a value leaves the stored one in place. Keys must be
+    unique in ``updates``; ``quality.dedupe_latest`` makes them so.
     """
     rest = [c for c in target.columns if c not in keys]
     right = updates.select(

@@ -128,6 +128,15 @@ def test_products(vectors, monkeypatch):
         assert r.product == pytest.approx(want[r.i - 1, r.j - 1], abs=1e-6)
 
 
+def test_products_of_large_vectors(spark):
+    df = spark.createDataFrame([(i, [3e4, 1.0], 0) for i in range(12)], "vec_id long, embedding array<double>, label int")
+    got = {(r.i, r.j): r.product for r in n.gram_matrix(df.coalesce(1), "label").collect()}
+    assert got == {(1, 1): 12 * 9e8, (1, 2): 12 * 3e4, (2, 2): 12.0}
+    huge = spark.createDataFrame([(1, [1e9], 0)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(Exception, match="scale them first"):
+        n.gram_matrix(huge, "label").collect()
+
+
 def test_spectrum(spark):
     data = [("a", t, float(t % 4)) for t in range(100, 132) if t != 110]
     got = n.series_spectrum(spark.createDataFrame(data, "k string, t long, v double"), "k", "t", "v").first()
