@@ -131,7 +131,9 @@ def _longest_in_cycles(stuck: DataFrame, inner: DataFrame) -> DataFrame:
     """Longest chains without repetition among tasks that never became ready.
 
     ``depth`` of such a task already holds its best chain through settled
-    upstreams, so only paths among the stuck tasks are followed.
+    upstreams, so only paths among the stuck tasks are followed. Of a path only
+    its end and the set of its tasks matter, so paths that differ in order alone
+    are followed once.
     """
     here = stuck.select("dag_id", "task_id", "depth")
     targets = here.select("dag_id", F.col("task_id").alias("upstream_id"), F.col("depth").alias("up_depth"))
@@ -149,8 +151,9 @@ def _longest_in_cycles(stuck: DataFrame, inner: DataFrame) -> DataFrame:
             .where(~F.array_contains("path", F.col("upstream_id")))
             .select(
                 "dag_id", F.col("upstream_id").alias("at"),
-                F.concat("path", F.array("upstream_id")).alias("path"), "up_depth",
-            ),
+                F.array_sort(F.concat("path", F.array("upstream_id"))).alias("path"), "up_depth",
+            )
+            .distinct(),
             "paths",
         )
         if paths.isEmpty():

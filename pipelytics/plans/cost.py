@@ -80,13 +80,15 @@ def filter_quotes(t):
     )
 
 
-@plan("gpu_rate_lookup", """
-    select attempt_id, gpu, case gpu when 'a100' then 3.5::double when 'v100' then 2.2::double
-           when 't4' then 0.75::double else 1.0::double end as gpu_rate
-    from task_runs_v where gpu is not null""")
+@plan("gpu_rate_lookup", f"""with {_RATES}
+    select q.req_id, q.provider, q.gpu, coalesce(g.price, 1.0::double) as gpu_rate
+    from quotes q left join gpus g on g.provider = q.provider and g.gpu = q.gpu
+    where q.instance_type = 'on_demand' and q.gpu is not null""")
 def gpu_rate_lookup(t):
-    runs = t.task_runs_v.where("gpu is not null").select("attempt_id", "gpu")
-    return c.gpu_rate_lookup(runs, p.RUN_GPU_RATES, F.col("gpu"))
+    offers = c.gather_quotes(t.requirements_v, spot=False).where("gpu is not null")
+    listed = {f"{n}/{g}": v for n, prices in p.GPU_PRICES.items() for g, v in prices.items()}
+    priced = c.gpu_rate_lookup(offers, listed, F.concat_ws("/", "provider", "gpu"))
+    return priced.select("req_id", "provider", "gpu", "gpu_rate")
 
 
 @plan("quote_vs_baseline", f"""with {_RATES}

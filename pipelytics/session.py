@@ -21,7 +21,6 @@ def build_session(master: str = "local[*]", partitions: int = 8) -> SparkSession
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        .config(_ROOT_KEY, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
