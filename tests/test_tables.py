@@ -1,5 +1,6 @@
 """Reading, writing, quality checks, history and inference on small tables."""
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -112,6 +113,13 @@ def test_mark_stays_when_nothing_is_new(spark):
     assert tuple(r.next_mark(df, "id", 1).first()) == (2, 1)
 
 
+def test_manifest_matches_the_files(spark, tmp_path, rows):
+    for name, content in {"a.bin": b"abc", "b.bin": b"", "c.txt": b"no"}.items():
+        (tmp_path / name).write_bytes(content)
+    want = [(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in (("a.bin", b"abc"), ("b.bin", b""))]
+    assert rows(r.file_manifest(spark, str(tmp_path), "*.bin")) == want
+
+
 def test_formats_are_checked(spark):
     with pytest.raises(ValueError, match="format"):
         r.read_table(spark, "/tmp/x", "xls")
