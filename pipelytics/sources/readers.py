@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,10 +70,21 @@ def schema_evolution_read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Name, size and checksum of every file; Spark refuses files beyond 2 GB."""
+    """Name, size and checksum of every file; Spark refuses files beyond 2 GB.
+
+    A scan passes over empty files, so they are added from the listing that
+    Spark holds for the folder.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    scanned = files.select(
+        name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    )
+    # The listing quotes paths and writes an empty host; the scan does neither.
+    paths = [(re.sub(r"^(\w+):///", r"\1:/", unquote(p)),) for p in files.inputFiles()]
+    listed = spark.createDataFrame(paths, "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti").select(
+        name, F.lit(0).cast("bigint").alias("bytes"),
+        F.sha2(F.lit("").cast("binary"), 256).alias("sha256"),
     )
+    return scanned.unionAll(empty)
