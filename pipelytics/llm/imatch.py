@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.ordered import range_segments
 
 #: Shares of the lexicon in the subsets, in 1/4096.
-SUBSETS = tuple(share for share in (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4) for _ in range(4))
+SUBSETS = tuple(share for share in (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4) for _ in range(3))
 #: Stands for a null key.
 LEAST = -(1 << 63)
 #: A part that holds no term: the first digits of the MD5 hash of nothing.
@@ -55,22 +55,6 @@ def lexicon(docs: DataFrame, low: float, high: float, subsets: Sequence[int] = S
     return banded.select("term", mask.alias("subsets"))
 
 
-def fingerprint(pairs: Column, whole: Column, subsets: Sequence[int] = SUBSETS) -> Column:
-    """The fingerprint, as parts of 8 hex digits, from sorted (term, subsets) pairs of the lexicon.
-
-    A text with no term in the lexicon has ``whole`` in every part instead.
-    """
-    masks = F.array(*[F.lit(1 << k).cast("bigint") for k in range(len(subsets))])
-
-    def part(mask: Column) -> Column:
-        mine = F.filter(pairs, lambda p: p["subsets"].bitwiseAND(mask) != 0)
-        return F.substring(F.md5(F.array_join(F.transform(mine, lambda p: p["term"]), " ")), 1, 8)
-
-    return F.when(F.size(pairs) <= 1, F.repeat(whole, F.lit(len(subsets)))).otherwise(
-        F.array_join(F.transform(masks, part), "")
-    )
-
-
 def likeness(a: Column, b: Column, n: int = len(SUBSETS)) -> Column:
     """Share of equal parts among those that hold a term in either; two without terms are alike."""
     places = F.sequence(F.lit(0), F.lit(n - 1))
@@ -81,9 +65,14 @@ def likeness(a: Column, b: Column, n: int = len(SUBSETS)) -> Column:
 
 
 def fingerprints(
-    texts: DataFrame, lexicon_terms: DataFrame, keys: Sequence[str], text: str = "text", out: str = "fingerprint"
+    texts: DataFrame,
+    lexicon_terms: DataFrame,
+    keys: Sequence[str],
+    text: str = "text",
+    out: str = "fingerprint",
+    parts: int = len(SUBSETS),
 ) -> DataFrame:
-    """``keys`` and the fingerprint of each text. Rows with equal keys must hold equal texts and become one.
+    """``keys`` and the fingerprint of each text, in parts of 8 hex digits. Rows with equal keys must hold equal texts and become one.
 
     The lexicon is broadcast: its number of rows is bounded (see ``lexicon``).
     Terms outside it vanish before the terms of a text are gathered, which takes
@@ -97,13 +86,21 @@ def fingerprints(
     )
     full = F.col(text).rlike(r"[^\x20\x09-\x0D]")
     whole = F.when(full, F.substring(F.md5(F.col(text)), 1, 8)).otherwise(F.lit(NOTHING))
-    held = texts.select(*keys, text, whole.alias("_whole"))
-    rows = held.select(*keys, "_whole", F.explode_outer(F.coalesce(terms(F.col(text)), F.array(F.lit("")))).alias("term"))
+    rows = texts.select(
+        *keys, whole.alias("_whole"), F.explode_outer(F.coalesce(terms(F.col(text)), F.array(F.lit("")))).alias("term")
+    )
     met = rows.join(F.broadcast(known), "term")
     grouped = met.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.struct("term", "subsets"))).alias("_pairs"), F.max("_whole").alias("_whole")
+        F.sort_array(F.collect_set(F.struct("term", "subsets"))).alias("_pairs"), F.max("_whole").alias("_whole")
     )
-    return grouped.select(*keys, fingerprint(F.col("_pairs"), F.col("_whole")).alias(out))
+
+    def part(mask: Column) -> Column:
+        mine = F.filter("_pairs", lambda p: p["subsets"].bitwiseAND(mask) != 0)
+        return F.substring(F.md5(F.array_join(F.transform(mine, lambda p: p["term"]), " ")), 1, 8)
+
+    own = F.array_join(F.transform(F.array(*[F.lit(1 << k).cast("bigint") for k in range(parts)]), part), "")
+    none = F.repeat("_whole", F.lit(parts))
+    return grouped.select(*keys, F.when(F.size("_pairs") <= 1, none).otherwise(own).alias(out))
 
 
 def successors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -88,7 +88,7 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Band of document frequencies of the lexicon in op10.
-LOW, HIGH = 0.002, 0.2
+LOW, HIGH = 0.002, 0.05
 
 
 def op10_imatch(spark: SparkSession, folder: str) -> DataFrame:
