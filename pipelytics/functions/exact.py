@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Room for any sum of ordinary doubles, at nine decimals.
+FINE = "decimal(38,9)"
+
 
 def money_sum(col: str | Column) -> Column:
     """Sum of amounts in hundredths, exact, as a double."""
@@ -13,9 +16,15 @@ def money_sum(col: str | Column) -> Column:
 
 
 def fine_sum(col: str | Column) -> Column:
-    """Sum of terms held to nine decimals, exact, as a double."""
+    """Sum of terms held to nine decimals, exact, as a double.
+
+    Terms of 1e29 and more, infinite ones and not-a-numbers have no such form: with
+    one among them the sum is the plain sum of doubles.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c.cast("decimal(18,9)")).cast("double")
+    held = c.try_cast(FINE)
+    whole = F.coalesce(F.bool_and(held.isNotNull() | c.isNull()), F.lit(True))
+    return F.when(whole, F.try_sum(held).cast("double")).otherwise(F.sum(c.cast("double")))
 
 
 def fine_mean(col: str | Column) -> Column:

@@ -243,7 +243,7 @@ def schedule_budget(
     costs = _filled(tasks).select(
         "pool", "req_id",
         F.coalesce("estimated_runtime", F.lit(p.DEFAULT_RUNTIME)).alias("runtime"),
-        _cheapest(multi_cloud, spot, max_hourly).cast("decimal(18,9)").alias("cost"),
+        _cheapest(multi_cloud, spot, max_hourly).cast("decimal(38,9)").alias("cost"),
     )
     # Tasks without an offer sort first and add nothing; they are dropped after the
     # sums, where the test reads a stored column instead of pricing them again.

@@ -110,7 +110,11 @@ def stratified_split(
 def feature_drift(
     reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10
 ) -> DataFrame:
-    """Population stability index per column, over bins spanned by the reference."""
+    """Population stability index per column.
+
+    Bins are spanned by the reference; values below and above its range, and
+    nulls, have bins of their own, so a shift away from a constant shows too.
+    """
     extent = reference.agg(
         F.struct(
             *[F.min(c).alias(f"lo_{c}") for c in columns],
@@ -121,14 +125,15 @@ def feature_drift(
     def binned(df: DataFrame, side: int) -> DataFrame:
         def bin_of(c):
             low, high = extent[f"lo_{c}"], extent[f"hi_{c}"]
-            place = F.floor(F.try_divide(F.col(c) - low, high - low) * bins)
-            return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0))))
-
-        cells = [
-            F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin")))
-            for c in columns
-        ]
-        found = F.array_compact(F.array(*cells))
+            place = F.coalesce(F.floor(F.try_divide(F.col(c) - low, high - low) * bins), F.lit(0))
+            return (
+                F.when(F.col(c).isNull(), F.lit(-2))
+                .when(F.col(c) < low, F.lit(-1))
+                .when(F.col(c) > high, F.lit(bins))
+                .otherwise(F.least(F.lit(bins - 1), place))
+            )
+
+        found = F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin")) for c in columns])
         return unnest(df, [], found, "feature").withColumn("side", F.lit(side))
 
     counts = (
@@ -147,24 +152,17 @@ def feature_drift(
     )
 
 
-def sentiment_score(
-    documents: DataFrame, lexicon: DataFrame, broadcast_words: int = 100_000
-) -> DataFrame:
+def sentiment_score(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Share of positive minus share of negative words among the listed words of a document.
 
-    A lexicon of at most ``broadcast_words`` entries is sent to every task, which
-    then keeps only listed words. With a larger one, words are first counted per
-    document, so that a frequent word meets the join once per document.
+    Spark sends the lexicon to every task if its measured size allows, and else
+    joins by word.
     """
     # The outer form keeps the optimizer from splitting every text twice.
     words = documents.select(
         "doc_id", F.explode_outer(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
     )
-    if lexicon.limit(broadcast_words + 1).count() <= broadcast_words:
-        found = words.join(F.broadcast(lexicon), "word").withColumn("n", F.lit(1))
-    else:
-        counted = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-        found = counted.join(lexicon, "word")
+    found = words.join(lexicon, "word").withColumn("n", F.lit(1))
     scored = found.groupBy("doc_id").agg(
         F.sum("n").alias("hits"), F.sum(F.col("n") * F.col("polarity")).alias("balance")
     )

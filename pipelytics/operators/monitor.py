@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions.exact import money_sum
 from ..functions.unnest import unnest
-from ..session import scratch_path
 from .ordered import with_preceding
 
 
@@ -32,11 +31,11 @@ def threshold_alerts(task_runs: DataFrame, limits: Mapping[str, float]) -> DataF
 
 
 def observed_metrics(df: DataFrame, checks: Mapping[str, Column], name: str = "checks") -> DataFrame:
-    """Metrics collected while ``df`` is written, without a second pass over it."""
+    """Metrics collected while ``df`` is read once; nothing is stored."""
     seen = Observation(name)
     spark = df.sparkSession
     observed = df.observe(seen, *[c.alias(k) for k, c in checks.items()])
-    observed.write.parquet(scratch_path(spark, "observed"))
+    observed.write.format("noop").mode("overwrite").save()
     schema = df.agg(*[c.alias(k) for k, c in checks.items()]).schema
     return spark.createDataFrame([tuple(seen.get[k] for k in checks)], schema)
 
@@ -96,20 +95,16 @@ def rolling_anomalies(
     """Values more than ``z`` deviations from the mean of the ``n`` rows before them."""
     def columns(spec):
         frame = spec.rowsBetween(-n, -1)
-        v = F.col(value).cast("decimal(18,4)")
         return {
             "_n": F.count(value).over(frame),
-            "_s": F.sum(v).over(frame).cast("double"),
-            "_q": F.sum((v * v).cast("decimal(38,8)")).over(frame).cast("double"),
+            "_mean": F.avg(value).over(frame),
+            "_spread": F.stddev_samp(value).over(frame),
         }
 
     rows = with_preceding(events.select(key, *order, value), [key], order, n, columns, **segmenting)
-    mean = F.col("_s") / F.col("_n")
-    squares = F.greatest(F.col("_q") - F.col("_s") * mean, F.lit(0.0))
-    spread = F.sqrt(squares / (F.col("_n") - 1))
     return (
         rows.where(F.col("_n") == n)
-        .withColumn("zscore", F.round(F.try_divide(F.abs(F.col(value) - mean), spread), 6))
+        .withColumn("zscore", F.round(F.try_divide(F.abs(F.col(value) - F.col("_mean")), F.col("_spread")), 6))
         .where(F.col("zscore") > z)
         .select(key, *order, value, "zscore")
     )
@@ -119,21 +114,15 @@ def market_indicators(ticks: DataFrame, key: str, time: str, value: str, n: int,
     """Moving average, change against the row before, and moving deviation, per key."""
     def columns(spec):
         frame = spec.rowsBetween(-(n - 1), 0)
-        v = F.col(value).cast("decimal(18,4)")
         before = F.lag(value).over(spec)
         return {
-            "moving_avg": F.round(F.sum(v).over(frame).cast("double") / F.count(value).over(frame), 6),
+            "moving_avg": F.round(F.avg(value).over(frame), 6),
             "lag_return": F.try_divide(F.col(value) - before, before),
-            "_n": F.count(value).over(frame),
-            "_s": F.sum(v).over(frame).cast("double"),
-            "_q": F.sum((v * v).cast("decimal(38,8)")).over(frame).cast("double"),
+            "_spread": F.stddev_samp(value).over(frame),
         }
 
     rows = with_preceding(ticks.select(key, time, value), [key], [time], n, columns, **segmenting)
-    variance = F.try_divide(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n"), F.col("_n") - 1)
     return rows.select(
         key, time, value, "moving_avg", "lag_return",
-        F.round(
-            F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0)))), 4
-        ).alias("volatility"),
+        F.round("_spread", 4).alias("volatility"),
     )

@@ -30,7 +30,7 @@ def llm_model_metrics(requests: DataFrame) -> DataFrame:
         .groupBy("model", "cache_key")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("latency_ms").cast("decimal(18,9)")).alias("latency"),
+            F.sum(F.col("latency_ms").cast("decimal(38,9)")).alias("latency"),
             F.sum("tokens").alias("tokens"),
             F.count_if("success").alias("good"),
             F.max_by(speed, at).alias("speed"),
@@ -68,7 +68,7 @@ def running_model_metrics(requests: DataFrame, segments: int | None = None) -> D
         slim, ["model"], ["ts", "request_id"],
         {
             "n": F.lit(1).cast("bigint"),
-            "latency": F.col("latency_ms").cast("decimal(18,9)"),
+            "latency": F.col("latency_ms").cast("decimal(38,9)"),
             "good": F.when(F.col("success"), 1).otherwise(0).cast("bigint"),
         },
         segments,

@@ -97,7 +97,7 @@ def runtime_trend(task_runs: DataFrame, window: int = 5, **segmenting) -> DataFr
 
     def columns(spec):
         frame = spec.rowsBetween(-(window - 1), 0)
-        total = F.sum(F.col("duration_s").cast("decimal(18,9)")).over(frame).cast("double")
+        total = F.sum(F.col("duration_s").cast("decimal(38,9)")).over(frame).cast("double")
         return {
             "previous_s": F.lag("duration_s").over(spec),
             "rolling_mean_s": total / F.count("duration_s").over(frame),

@@ -354,7 +354,8 @@ _MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
     f"select '{n}' as column_name, round(avg({n}), 6) as mean, round(stddev_pop({n}), 6) as std, "
     f"max({n}) as max, min({n}) as min from lineitem" for n in _MEASURES))
 def summary_stats(t):
-    return q.summary_stats(t.lineitem, _MEASURES)
+    found = q.summary_stats(t.lineitem, _MEASURES)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 _PROFILED = ["l_orderkey", "l_partkey", "l_returnflag", "l_quantity"]

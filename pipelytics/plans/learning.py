@@ -162,7 +162,8 @@ def metric_correlation(t):
                       ts >= timestamp '2024-01-24 00:00:00' as cur from events),
     l as (select 'value' as feature, value as v, cur from x union all select 'k', k, cur from x),
     e as (select feature, min(v) as lo, max(v) as hi from l where not cur group by 1),
-    c as (select feature, greatest(0, least(9, floor((v - lo) / (hi - lo) * 10))) as bin,
+    c as (select feature, case when v is null then -2 when v < lo then -1 when v > hi then 10
+                              else least(9, coalesce(floor((v - lo) / (hi - lo) * 10), 0)) end as bin,
                  count(*) filter (where not cur) as p, count(*) filter (where cur) as q
           from l join e using (feature) group by 1, 2),
     t as (select feature, sum(p) as np, sum(q) as nq from c group by 1),

@@ -148,12 +148,8 @@ def stream_circuit_breaker(t):
 
 
 @plan("stream_upsert_metrics", """
-    with c as (select *, case when order_date < timestamp '1998-01-01' then 0
-                              when order_date < timestamp '2001-06-01' then 1 else 2 end as chunk from orders_v),
-    m as (select customer_id, chunk, cast(sum(cast(total_amount as decimal(18,2))) as double) as lifetime_value,
-                 count(*) as order_count, max(order_date) as last_order from c group by 1, 2)
-    select customer_id, lifetime_value, order_count, last_order from (
-        select *, row_number() over (partition by customer_id order by chunk desc) as rn from m) where rn = 1""")
+    select customer_id, cast(sum(cast(total_amount as decimal(18,2))) as double) as lifetime_value,
+           count(*) as order_count, max(order_date) as last_order from orders_v group by 1""")
 def stream_upsert_metrics(t):
     inbox, target = scratch_path(t.spark, "orders-in"), scratch_path(t.spark, "metrics")
     state = scratch_path(t.spark, "upsert-state")

@@ -33,8 +33,17 @@ def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> Da
     )
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Completed versions of a table, oldest first."""
+_COMMITTED = "_COMMITTED"
+
+
+def _commit(spark: SparkSession, folder: str) -> None:
+    """Mark a version as complete, with a file of our own: Spark's marker can be switched off."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, _COMMITTED)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True).close()
+
+
+def _versions(spark: SparkSession, path: str, committed: bool = True) -> list[int]:
+    """Versions of a table, oldest first; with ``committed`` only the complete ones."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -43,8 +52,8 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     found = []
     for entry in fs.listStatus(root):
         name = entry.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
+        done = jvm.org.apache.hadoop.fs.Path(entry.getPath(), _COMMITTED)
+        if name.startswith("version=") and (not committed or fs.exists(done)):
             found.append(int(name.split("=")[1]))
     return sorted(found)
 
@@ -56,23 +65,48 @@ def read_latest(spark: SparkSession, path: str, before: int | None = None) -> Da
 
 
 def upsert_customer_metrics(
-    path: str, updates: DataFrame, keys: Sequence[str], version: int | None = None
+    path: str, updates: DataFrame, keys: Sequence[str], version: int | None = None, merge=merge_rows
 ) -> DataFrame:
     """Merge updates into a versioned table and return the new content.
 
+    ``merge`` combines stored rows with updates; by default updates replace.
+
     Every call writes a new version folder, never the one being read. A
     version given by the caller (a micro-batch number) makes a repeat of the
     same call rewrite the same version from the same predecessor.
     """
     spark = updates.sparkSession
+    complete = _versions(spark, path)
     if version is None:
-        version = max(_versions(spark, path), default=-1) + 1
+        version = max(complete, default=-1) + 1
+    if not complete and set(_versions(spark, path, committed=False)) - {version}:
+        raise ValueError(f"{path} holds versions, but none is marked as complete")
     current = read_latest(spark, path, before=version)
-    merged = updates if current is None else merge_rows(current, updates, keys)
+    merged = updates if current is None else merge(current, updates, keys)
     merged.write.mode("overwrite").parquet(f"{path}/version={version}")
+    _commit(spark, f"{path}/version={version}")
     return spark.read.schema(merged.schema).parquet(f"{path}/version={version}")
 
 
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Remove all but the newest ``keep`` complete versions of a table; the versions removed."""
+    gone = _versions(spark, path)[: -max(1, keep)]
+    for version in gone:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return gone
+
+
+def fold_metrics(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored customer metrics with those of more orders added: sums add up, the last order is the later one."""
+    both = target.unionByName(updates)
+    return both.groupBy(*keys).agg(
+        money_sum("lifetime_value").alias("lifetime_value"),
+        F.sum("order_count").alias("order_count"),
+        F.max("last_order").alias("last_order"),
+    )
+
+
 def daily_summary(revenue: DataFrame) -> DataFrame:
     """Rows, revenue and customers per day of a daily revenue table."""
     return revenue.groupBy("order_day").agg(

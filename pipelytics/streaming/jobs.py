@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.exact import fine_mean, fine_sum, moment_like, share
 from ..operators.recovery import fix_plan
 from ..session import scratch_path
-from ..sources.writers import read_latest, upsert_customer_metrics
+from ..sources.writers import fold_metrics, read_latest, upsert_customer_metrics
 from .runner import open_stream, run_batches, with_event_time
 
 
@@ -208,12 +208,15 @@ def stream_circuit_breaker(
 def stream_upsert_metrics(
     stream: DataFrame, target: str, metrics, keys: Sequence[str], checkpoint: str | None = None
 ) -> DataFrame:
-    """Merge the metrics of every micro-batch into a versioned table and return it.
+    """Add the metrics of every micro-batch to a versioned table and return it.
+
+    A batch holds some of a customer's orders, so its sums are added to the
+    stored ones: where batches are cut does not show.
 
     The batch number is the version, so a repeated batch rewrites its own result.
     """
     def merge(batch: DataFrame, number: int) -> None:
-        upsert_customer_metrics(target, metrics(batch), keys, version=number)
+        upsert_customer_metrics(target, metrics(batch), keys, number, fold_metrics)
 
     run_batches(stream, "upsert", "append", merge, checkpoint)
     return read_latest(stream.sparkSession, target)
