@@ -42,16 +42,14 @@ def lexicon(docs: DataFrame, low: float, high: float, subsets: Sequence[int] = S
     counted = rows.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     total = docs.select(F.count(F.lit(1))).scalar()
     banded = counted.where((F.col("_df") >= F.ceil(total * low)) & (F.col("_df") <= F.floor(total * high)))
-    drawn = [
-        F.when(
-            F.substring(F.md5(F.concat(F.lit(f"{k}:"), F.col("term"))), 1, 3) < f"{share:03x}",
-            F.lit(1 << k),
-        ).otherwise(F.lit(0)).cast("bigint")
-        for k, share in enumerate(subsets)
-    ]
-    mask = drawn[0]
-    for bit in drawn[1:]:
-        mask = mask + bit
+    limits = F.array(*[F.lit(f"{share:03x}") for share in subsets])
+
+    def drawn(taken: Column, k: Column) -> Column:
+        place = F.substring(F.md5(F.concat(k.cast("string"), F.lit(":"), F.col("term"))), 1, 3)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        return F.when(place < F.element_at(limits, k + 1), taken + bit).otherwise(taken)
+
+    mask = F.aggregate(F.sequence(F.lit(0), F.lit(len(subsets) - 1)), F.lit(0).cast("bigint"), drawn)
     return banded.select("term", mask.alias("subsets"))
 
 
@@ -86,8 +84,10 @@ def fingerprints(
     )
     full = F.col(text).rlike(r"[^\x20\x09-\x0D]")
     whole = F.when(full, F.substring(F.md5(F.col(text)), 1, 8)).otherwise(F.lit(NOTHING))
-    rows = texts.select(
-        *keys, whole.alias("_whole"), F.explode_outer(F.coalesce(terms(F.col(text)), F.array(F.lit("")))).alias("term")
+    # In a step of its own: next to explode it would be computed for every term.
+    held = texts.select(*keys, F.col(text).alias("_text"), whole.alias("_whole"))
+    rows = held.select(
+        *keys, "_whole", F.explode_outer(F.coalesce(terms(F.col("_text")), F.array(F.lit("")))).alias("term")
     )
     met = rows.join(F.broadcast(known), "term")
     grouped = met.groupBy(*keys).agg(
