@@ -22,8 +22,8 @@ def batch_score_median(vectors: DataFrame, batch: int = 1000) -> DataFrame:
     """
     total = F.aggregate(
         "embedding",
-        F.lit(0).cast("decimal(38,9)"),
-        lambda acc, v: (acc + v.cast("double").cast("decimal(38,9)")).cast("decimal(38,9)"),
+        F.lit(0).cast("decimal(37,9)"),
+        lambda acc, v: (acc + v.cast("double").cast("decimal(30,9)")).cast("decimal(37,9)"),
     )
     scored = vectors.select(
         "vec_id", F.floor(F.col("vec_id") / batch).cast("bigint").alias("batch"),
