@@ -1,24 +1,27 @@
 """I-Match fingerprints: hashes of a document's mid-frequency terms under several randomised lexicons.
 
 Built-in functions only. A term is a run without ASCII white space. Terms whose
-document frequency lies in a band are the lexicon; subset ``k`` of it holds the
-terms that a hash with ``k`` draws with that subset's probability. Part ``k``
-of a fingerprint is the hash of the document's distinct, sorted terms in the
-subset. Sparse subsets tell long documents apart after an edit, dense ones
-short documents; the likeness of two fingerprints is the share of equal parts.
+document frequency lies in a band are the lexicon. Each of a few families draws
+a number for every term, and its subsets of the lexicon hold the terms whose
+number lies below the subset's share: every subset is a random sample, and the
+sparser ones of a family lie within the denser. A part of a fingerprint is the
+hash of the document's distinct, sorted terms in one subset. Sparse subsets
+tell long documents apart after an edit, dense ones short documents; the
+likeness of two fingerprints is the share of equal parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import range_segments
 
-#: Shares of the lexicon in the subsets, in 1/4096.
-SUBSETS = tuple(share for share in (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4) for _ in range(3))
+#: Shares of the lexicon in the subsets of a family, in 1/4096, and the number of families.
+SHARES = (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4)
+FAMILIES = 3
 #: Stands for a null key.
 LEAST = -(1 << 63)
 #: A part that holds no term: the first digits of the MD5 hash of nothing.
@@ -30,30 +33,29 @@ def terms(text: Column) -> Column:
     return F.array_union(F.array(F.lit("")), F.split(text, r"[\x20\x09-\x0D]+"))
 
 
-def lexicon(docs: DataFrame, low: float, high: float, subsets: Sequence[int] = SUBSETS, text: str = "text") -> DataFrame:
-    """``(term, subsets)`` for the terms in at least ``low`` and at most ``high`` of all documents.
+def lexicon(docs: DataFrame, low: float, high: float, text: str = "text") -> DataFrame:
+    """``(term, levels)`` for the terms in at least ``low`` and at most ``high`` of all documents.
 
-    ``subsets`` lists, as bits, the subsets that draw the term. A term in
-    ``low`` of all documents or more is one of at most (terms per document /
-    ``low``), however many documents there are: that bounds this table.
+    ``levels`` holds, four bits a family, how many of its subsets draw the term.
+    A term in ``low`` of all documents or more is one of at most (terms per
+    document / ``low``), however many documents there are: that bounds this table.
     """
     # The outer form spares a size check of the array, which would compute it twice; the same below.
     rows = docs.select(F.explode_outer(terms(F.col(text))).alias("term")).where("term <> ''")
     counted = rows.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     total = docs.select(F.count(F.lit(1))).scalar()
     banded = counted.where((F.col("_df") >= F.ceil(total * low)) & (F.col("_df") <= F.floor(total * high)))
-    limits = F.array(*[F.lit(f"{share:03x}") for share in subsets])
+    limits = F.array(*[F.lit(f"{share:03x}") for share in SHARES])
 
-    def drawn(taken: Column, k: Column) -> Column:
-        place = F.substring(F.md5(F.concat(k.cast("string"), F.lit(":"), F.col("term"))), 1, 3)
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-        return F.when(place < F.element_at(limits, k + 1), taken + bit).otherwise(taken)
+    def level(family: int) -> Column:
+        place = F.substring(F.md5(F.concat(F.lit(f"{family}:"), F.col("term"))), 1, 3)
+        return F.size(F.filter(limits, lambda limit: place < limit)).cast("bigint")
 
-    mask = F.aggregate(F.sequence(F.lit(0), F.lit(len(subsets) - 1)), F.lit(0).cast("bigint"), drawn)
-    return banded.select("term", mask.alias("subsets"))
+    packed = sum((level(f) * (1 << 4 * f) for f in range(FAMILIES)), F.lit(0).cast("bigint"))
+    return banded.select("term", packed.alias("levels"))
 
 
-def likeness(a: Column, b: Column, n: int = len(SUBSETS)) -> Column:
+def likeness(a: Column, b: Column, n: int = FAMILIES * len(SHARES)) -> Column:
     """Share of equal parts among those that hold a term in either; two without terms are alike."""
     places = F.sequence(F.lit(0), F.lit(n - 1))
     part = lambda f, k: F.substring(f, 8 * k + F.lit(1), F.lit(8))
@@ -66,11 +68,14 @@ def fingerprints(
     texts: DataFrame,
     lexicon_terms: DataFrame,
     keys: Sequence[str],
-    text: str = "text",
-    out: str = "fingerprint",
-    parts: int = len(SUBSETS),
+    outputs: Mapping[str, Sequence[str]] | None = None,
+    held: Sequence[str] = (),
 ) -> DataFrame:
-    """``keys`` and the fingerprint of each text, in parts of 8 hex digits. Rows with equal keys must hold equal texts and become one.
+    """``keys``, ``held`` and a fingerprint for each of ``outputs``. Rows with equal keys must be equal and become one.
+
+    An output is the text made of some columns in turn, ``text`` by default;
+    each of them must end where a word does. Outputs that share a column share
+    its terms. The keys determine ``held``, which travels with one term of a row.
 
     The lexicon is broadcast: its number of rows is bounded (see ``lexicon``).
     Terms outside it vanish before the terms of a text are gathered, which takes
@@ -78,29 +83,68 @@ def fingerprints(
     with terms but none in the lexicon is fingerprinted by the text itself, a
     null text or one without terms by empty parts.
     """
+    outputs = outputs or {"fingerprint": ["text"]}
     # The empty term of every text, put into the lexicon, keeps texts that have no other.
     known = lexicon_terms.unionByName(
-        lexicon_terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("subsets"))
+        lexicon_terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("levels"))
     )
-    full = F.col(text).rlike(r"[^\x20\x09-\x0D]")
-    whole = F.when(full, F.substring(F.md5(F.col(text)), 1, 8)).otherwise(F.lit(NOTHING))
+
+    def whole(columns: Sequence[str]) -> Column:
+        text = F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
+        full = text.rlike(r"[^\x20\x09-\x0D]")
+        return F.when(full, F.substring(F.md5(text.cast("binary")), 1, 8)).otherwise(F.lit(NOTHING))
+
+    sides: dict[str, int] = {}
+    for i, columns in enumerate(outputs.values()):
+        for c in columns:
+            sides[c] = sides.get(c, 0) | 1 << i
+    pieces = F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("body")) for c, side in sides.items()])
     # In a step of its own: next to explode it would be computed for every term.
-    held = texts.select(*keys, F.col(text).alias("_text"), whole.alias("_whole"))
-    rows = held.select(
-        *keys, "_whole", F.explode_outer(F.coalesce(terms(F.col("_text")), F.array(F.lit("")))).alias("term")
+    once = F.struct(*[whole(c).alias(f"_whole_{name}") for name, c in outputs.items()], *held)
+    split = texts.select(*keys, once.alias("_once"), F.explode_outer(pieces).alias("_piece"))
+    rows = split.select(
+        *keys,
+        "_once",
+        F.col("_piece.side").alias("_side"),
+        F.explode_outer(F.coalesce(terms(F.col("_piece.body")), F.array(F.lit("")))).alias("term"),
     )
-    met = rows.join(F.broadcast(known), "term")
-    grouped = met.groupBy(*keys).agg(
-        F.sort_array(F.collect_set(F.struct("term", "subsets"))).alias("_pairs"), F.max("_whole").alias("_whole")
+    met = rows.join(F.broadcast(known), "term").withColumn("_once", F.when(F.col("term") == "", F.col("_once")))
+    single = met.groupBy(*keys, "term", "levels", "_once").agg(F.bit_or("_side").alias("_side"))
+    grouped = single.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("term", "levels", "_side"))).alias("_all"), F.max("_once").alias("_once")
     )
+    # The terms of each output and family in subsets ever sparser: each list is filtered from the one before it.
+    chains = [(i, family) for i in range(len(outputs)) for family in range(FAMILIES)]
+    def on(side: int, family: int | None = None) -> Callable[[Column], Column]:
+        """Whether a term stands in the output and, in one family or in any, in some subset."""
+        mask = (1 << 4 * FAMILIES) - 1 if family is None else 15 << 4 * family
+        return lambda p: (p["levels"].bitwiseAND(F.lit(mask)) > 0) & (p["_side"].bitwiseAND(F.lit(1 << side)) != 0)
+
+    def beyond(family: int, level: int) -> Callable[[Column], Column]:
+        return lambda p: p["levels"].bitwiseAND(F.lit(15 << 4 * family)) > level << 4 * family
+
+    now = grouped.select(
+        *keys,
+        "_once",
+        *[F.exists("_all", on(i)).alias(f"_some_{name}") for i, name in enumerate(outputs)],
+        *[F.filter("_all", on(i, f)).alias(f"_left_{i}_{f}") for i, f in chains],
+    )
+    for level in range(1, len(SHARES) + 1):
+        made = [c for c in now.columns if not c.startswith("_left_")]
+        parts, left = [], []
+        for i, f in chains:
+            mine = F.col(f"_left_{i}_{f}")
+            listed = F.array_join(F.transform(mine, lambda p: p["term"]), " ")
+            parts.append(F.substring(F.md5(listed.cast("binary")), 1, 8).alias(f"_part_{i}_{f}_{level}"))
+            left.append(F.filter(mine, beyond(f, level)).alias(f"_left_{i}_{f}"))
+        now = now.select(*made, *parts, *left)
 
-    def part(mask: Column) -> Column:
-        mine = F.filter("_pairs", lambda p: p["subsets"].bitwiseAND(mask) != 0)
-        return F.substring(F.md5(F.array_join(F.transform(mine, lambda p: p["term"]), " ")), 1, 8)
+    def print_of(name: str, i: int) -> Column:
+        own = F.concat(*[F.col(f"_part_{i}_{f}_{level}") for level in range(1, len(SHARES) + 1) for f in range(FAMILIES)])
+        none = F.repeat(F.col(f"_once._whole_{name}"), F.lit(FAMILIES * len(SHARES)))
+        return F.when(F.col(f"_some_{name}"), own).otherwise(none).alias(name)
 
-    own = F.array_join(F.transform(F.array(*[F.lit(1 << k).cast("bigint") for k in range(parts)]), part), "")
-    none = F.repeat("_whole", F.lit(parts))
-    return grouped.select(*keys, F.when(F.size("_pairs") <= 1, none).otherwise(own).alias(out))
+    return now.select(*keys, *[F.col(f"_once.{c}") for c in held], *[print_of(n, i) for i, n in enumerate(outputs)])
 
 
 def successors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,10 +186,11 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def edited(docs: DataFrame, links: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``hash``, ``text`` and ``edited``: the last quarter of a text replaced by the head of the next one.
+    """``id``, ``hash``, ``text``, ``edited`` and ``kept``: the last quarter of a text replaced by the head of the next one.
 
     The quarter is rounded down to whole code points; a shorter next text is
-    taken whole.
+    taken whole. ``kept`` is what both texts begin with, up to the last white
+    space before the edit.
     """
     base = keyed(docs, key, text)
     wanted = links.select(
@@ -160,4 +205,11 @@ def edited(docs: DataFrame, links: DataFrame, key: str = "doc_id", text: str = "
     heads = heads.repartition("_id", "_hash").groupBy("_id", "_hash").agg(F.first("_head").alias("_head"))
     joined = base.join(heads, (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash")))
     keep = F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))")
-    return joined.select("id", "hash", "text", F.concat(keep, "_head").alias("edited"))
+    joined = joined.select("id", "hash", "text", keep.alias("_keep"), "_head")
+    return joined.select(
+        "id",
+        "hash",
+        "text",
+        F.concat("_keep", "_head").alias("edited"),
+        F.regexp_extract("_keep", r"(?s)^.*[\x20\x09-\x0D]", 0).alias("kept"),
+    )
