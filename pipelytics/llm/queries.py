@@ -96,17 +96,23 @@ def op10_imatch(spark: SparkSession, folder: str) -> DataFrame:
     links = materialise(imatch.successors(docs), "successors")
     terms = materialise(imatch.lexicon(docs, LOW, HIGH), "lexicon")
     pairs = imatch.edited(docs, links)
-    rest = lambda text: F.expr(f"substring({text}, char_length(kept) + 1)")
-    pieces = pairs.select(
+    both = pairs.select(
         "id",
         "hash",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "kept",
-        rest("text").alias("own_end"),
-        rest("edited").alias("edited_end"),
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("version"), F.col("text").alias("body")),
+                F.struct(F.lit(1).alias("version"), F.col("edited").alias("body")),
+            )
+        ).alias("_v"),
+    ).select("id", "hash", "edited_sha256", "_v.version", "_v.body")
+    marked = imatch.fingerprints(both, terms, ["id", "hash", "version", "edited_sha256"], "body")
+    of = lambda version: F.max(F.when(F.col("version") == version, F.col("fingerprint")))
+    prints = materialise(
+        marked.groupBy("id", "hash", "edited_sha256").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")),
+        "fingerprints",
     )
-    outputs = {"fingerprint": ["kept", "own_end"], "edited_fingerprint": ["kept", "edited_end"]}
-    prints = materialise(imatch.fingerprints(pieces, terms, ["id", "hash"], outputs, ["edited_sha256"]), "fingerprints")
     following = prints.select(
         F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("fingerprint").alias("_next")
     )
