@@ -6,8 +6,10 @@ another token's e-mail name. Neighbouring tokens are linked in a chain; skip
 links join a token to the next one in the document that repeats it or resembles
 it (same letters and digits once punctuation is dropped, or the same last
 digits of a number), so that an entity found once is found again where its
-context or form says less. Marginals come from loopy message passing over each
-document. Node weights are learnt from the patterns' own labels, with the
+context or form says less. Each repeat is also joined to the first certain token
+of its kin, however far away that is.
+Marginals come from loopy message passing over each document, until its messages
+settle. Node weights are learnt from the patterns' own labels, with the
 forms that define the patterns partly hidden, so that context counts too.
 """
 
@@ -100,6 +102,7 @@ class Graph:
         self.blind: list[list[int]] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        self.star: list[tuple[int, int]] = []
         self.base: list[list[tuple[str, int, int]]] = []
         for i, text in enumerate(texts):
             self.base.append(base_spans(text))
@@ -126,6 +129,8 @@ class Graph:
         pieces += self._loose(text, end, len(text), names)
         del starts
         last, previous = {}, None
+        kin: dict[tuple[str, str], list[int]] = {}
+        near: set[tuple[int, int]] = set()
         for a, b, label in pieces:
             node = len(self.span)
             token = text[a:b]
@@ -166,7 +171,22 @@ class Graph:
                     if key in last and last[key] not in linked:
                         self.skip.append((last[key], node))
                         linked.add(last[key])
+                        near.add((last[key], node))
                     last[key] = node
+                    kin.setdefault(key, []).append(node)
+        # At most one link per repeat, key and kind: linear in the tokens. Certain tokens need none. Kin without a
+        # certain token get no head: beside their path it would only close loops, which count the same evidence anew.
+        for nodes in kin.values():
+            heads: dict[int, int] = {}
+            for node in nodes:
+                if self.label[node]:
+                    heads.setdefault(self.label[node], node)
+            for head in heads.values():
+                for node in nodes:
+                    pair = min(head, node), max(head, node)
+                    if node != head and not self.label[node] and pair not in near:
+                        near.add(pair)
+                        self.star.append(pair)
 
     def _loose(self, text: str, low: int, high: int, names: set[str]) -> list[tuple[int, int, int]]:
         """Candidates among the tokens between base spans."""
@@ -189,10 +209,13 @@ class Field:
     def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray, bits: int):
         self.weights, self.chain, self.skip, self.bits = weights, chain, skip, bits
 
-    def marginals(self, graph: Graph, rounds: int = 12, clamp: bool = True) -> np.ndarray:
-        """Label probabilities per token after ``rounds`` of parallel loopy message passing.
+    def marginals(self, graph: Graph, rounds: int = 1000, clamp: bool = True, tolerance: float = 1e-3) -> np.ndarray:
+        """Label probabilities per token after parallel loopy message passing.
 
-        Tokens of base spans are certain, and tell their links so.
+        Tokens of base spans are certain, and tell their links so. A document is
+        done once none of its messages is off by ``tolerance`` or more, whatever
+        other documents are in the graph. Loopy messages need not settle: those
+        that still change after ``rounds`` are taken as they are.
         """
         n, k = len(graph.span), len(LABELS)
         if not n:
@@ -203,24 +226,32 @@ class Field:
         label = np.array(graph.label)
         if clamp:
             sure = np.flatnonzero(label > 0)
-            node[sure] = -50.0
+            node[sure] = -np.inf  # no number of links outweighs certainty
             node[sure, label[sure]] = 0.0
-        edges = np.array(graph.chain + graph.skip, dtype=np.int64).reshape(-1, 2)
+        edges = np.array(graph.chain + graph.skip + graph.star, dtype=np.int64).reshape(-1, 2)
         if len(edges):
-            kind = np.repeat([0, 1], [len(graph.chain), len(graph.skip)])
+            kind = np.repeat([0, 1], [len(graph.chain), len(graph.skip) + len(graph.star)])
             tables = np.stack([self.chain, self.skip])[kind]
             source = np.concatenate([edges[:, 0], edges[:, 1]])
             goal = np.concatenate([edges[:, 1], edges[:, 0]])
             tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+            owner = np.array(graph.doc)[source]
             messages = np.zeros((len(source), k))
+            live = np.arange(len(source))
             for _ in range(rounds):
                 belief = node.copy()
-                np.add.at(belief, goal, messages)
-                out = belief[source] - messages[back]
-                fresh = np.logaddexp.reduce(out[:, :, None] + tables, axis=1)
+                np.add.at(belief, goal[live], messages[live])
+                out = belief[source[live]] - messages[back[live]]
+                fresh = np.logaddexp.reduce(out[:, :, None] + tables[live], axis=1)
                 fresh -= fresh.max(axis=1, keepdims=True)
-                messages = 0.5 * messages + 0.5 * fresh
+                off = np.abs(fresh - messages[live]).max(axis=1) >= tolerance
+                messages[live] = 0.5 * messages[live] + 0.5 * fresh
+                moving = np.zeros(len(graph.base), dtype=bool)
+                moving[owner[live[off]]] = True
+                live = live[moving[owner[live]]]
+                if not len(live):
+                    break
             node = node.copy()
             np.add.at(node, goal, messages)
         node -= node.max(axis=1, keepdims=True)
@@ -245,8 +276,8 @@ def train(
     Node weights: softmax regression, each token once with all features and once
     with its context only. A token outside the patterns' spans may still be
     personal data: it counts as other with probability ``1 - doubt``. Link weights: the log odds of two linked labels
-    against chance, counted over chain and skip links, and at most ``reach`` in
-    size. Before any is seen, skip links count as ``agreement`` pairs of each
+    against chance, counted over chain links and skip links to the next token, and
+    at most ``reach`` in size. Before any is seen, skip links count as ``agreement`` pairs of each
     label with itself; chain links start out indifferent.
     """
     k = len(LABELS)

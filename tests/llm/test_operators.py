@@ -141,6 +141,22 @@ def test_personal_data_and_skip_links(spark):
     assert pii.masked("ab cd ef", ["email:3:5", "ip:4:8"]) == "ab <email>"
 
 
+def test_personal_data_reaches_far_repeats(spark):
+    field = pii.train([r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()])
+    number, repeat = "+1 (456) 555-2186", "456 555 2186"
+    gap = " and so on in many plain words; "
+    for text in (f"Call {number}" + (gap + repeat) * 50, (repeat + gap) * 50 + f"Call {number}"):
+        (base, extra), (_, same) = field.find([text, text + gap], 0.9)
+        assert [k for k, _, _ in base] == ["phone"] and same == extra
+        assert [text[a:b] for k, a, b in sorted(extra, key=lambda s: s[1]) if k == "phone"] == [repeat] * 50
+    many = pii.Graph([f"Call {number}" + (gap + repeat) * 1000], field.bits)
+    assert len(many.star) <= 2 * len(many.span)
+    # Repeats without a certain one: what a path of five says exactly, not the same evidence counted again and again.
+    alone = pii.Graph([(repeat + gap) * 5], field.bits)
+    assert not alone.star
+    assert np.abs(field.marginals(alone, rounds=5000, tolerance=1e-9) - field.marginals(alone)).max() < 1e-2
+
+
 def test_html():
     page = """<header>Site</header><nav>menu</nav><div class="cookie-notice">ok</div><main><article><h1>T &amp; x</h1>
       <p>One <b>two</b><p>three<br>four<script>var a="</p>"</script><div class=comments><article><p>Nice</article></div>
