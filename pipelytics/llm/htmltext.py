@@ -4,7 +4,8 @@ Pages are read into a light tree. The subtrees of a page are hashed, and Spark
 counts on how many pages of a host, with different main texts, each occurs. A
 subtree that many of them share is template and goes, along with elements whose
 tag, role, class or id says that they are no article text. What a page declares
-as its article is read; other pages are read as a whole. Paragraphs and
+as its article is read; other pages are read as a whole, and so are those whose
+only articles stand in a comment section, a side bar or the like. Paragraphs and
 headings of a declared article are never taken for template, since articles
 quote one another.
 """
@@ -144,6 +145,11 @@ def _declared(node: Node) -> bool:
     return node.tag in ("article", "main") or node.attributes.get("role", "").lower() in ("main", "article")
 
 
+def _by_attribute(node: Node) -> bool:
+    a = node.attributes
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES
+
+
 def _marked(node: Node) -> bool:
     """Whether the element itself says that it is no article text."""
     if node.tag in DROPPED:
@@ -151,7 +157,7 @@ def _marked(node: Node) -> bool:
     a = node.attributes
     if not a:
         return False
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
+    if _by_attribute(node):
         return True
     words = _MARK.findall(a.get("class", "") + " " + a.get("id", ""))
     return any(w.lower() in MARKS for w in words)
@@ -168,20 +174,23 @@ class Page:
             order.append(node)
             todo.extend(c for c in node.children if isinstance(c, Node))
         self.nodes = order
-        # Articles in a comment section or a side bar count only on pages without others.
-        clean, any_ = [], []
-        above = {id(self.root): False}
+        # What stands in a comment section or a side bar declares no article. A <main> is the page's own wherever a class
+        # or id marks a wrapper of it, as in "with-sidebar".
+        clean, mains, any_ = [], [], []
+        above = {id(self.root): (False, False)}
         for node in order:
-            under = above[id(node)] or _marked(node)
+            under, strictly = above[id(node)]
+            marked = _marked(node)
+            below = under or marked, strictly or marked and (node.tag in DROPPED or _by_attribute(node))
             for child in node.children:
                 if isinstance(child, Node):
-                    above[id(child)] = under
-            if _declared(node) and not _marked(node):
+                    above[id(child)] = below
+            if _declared(node) and not marked:
                 any_.append(node)
                 if not under:
                     clean.append(node)
-        for node in clean or any_:
-            node.main = True
+                elif not strictly and (node.tag == "main" or node.attributes.get("role", "").lower() == "main"):
+                    mains.append(node)
         for node in reversed(order):
             digest = blake2b(node.tag.encode(), digest_size=8)
             for child in node.children:
@@ -190,6 +199,15 @@ class Page:
                 elif text := " ".join(child.split()):
                     digest.update(b"\2" + text.encode())
             node.hash = digest.digest()
+        self.declared = False
+        self._declare(clean or mains)
+        if any_ and not self.declared and not self.blocks():
+            self._declare(any_)
+
+    def _declare(self, articles: list[Node]) -> None:
+        for node in articles:
+            node.main = True
+        for node in reversed(self.nodes):
             for child in node.children:
                 if isinstance(child, Node):
                     node.main |= child.main

@@ -166,6 +166,15 @@ def test_html():
     assert htmltext.Page("<div>" * 5000 + "x").blocks() == ["x"]
 
 
+def test_html_articles_of_marked_sections():
+    body, reply = "<div id=content><p>body</p></div>", "<article>reply</article>"
+    for section in (f"<section class=comments>{reply}</section>", f"<div id=related>{reply}{reply}</div>", f"<aside>{reply}</aside>"):
+        assert htmltext.Page(body + section).blocks() == ["body"]
+        assert htmltext.Page(section + f"<article>{body}</article>").blocks() == ["body"]
+        assert set(htmltext.Page(f"<nav>menu</nav>{section}").blocks()) == {"reply"}
+    assert htmltext.Page("<div class=with-sidebar><main><p>body</p></main></div><div>(c) 2020</div>").blocks() == ["body"]
+
+
 def test_html_templates(spark):
     rows = [(i, f"https://h.org/{i}", f"<body><div><span>Shared box</span></div><p>Text number {i} of this host</p>") for i in range(8)]
     rows += [(9, None, None), (10, "x", ""), (11, "https://other.org/", "<div><span>Shared box</span></div><p>Alone</p>")]
