@@ -6,8 +6,8 @@ subtree that many of them share is template and goes, along with elements whose
 tag, role, class or id says that they are no article text. What a page declares
 as its article is read; other pages are read as a whole, and so are those whose
 only articles stand in a comment section, a side bar or the like. Paragraphs and
-headings of a declared article are never taken for template, since articles
-quote one another.
+headings of a declared article are never taken for template, nor are elements
+around them, since articles quote one another.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ INLINE = {
 }
 #: Elements of running text, safe from template removal inside a declared article.
 RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "td", "th", "tr", "figcaption"}
+#: Elements whose text is a link or a control; an ``a`` is one if it leads somewhere.
+CONTROLS = {"a", "label", "option", "summary"}
 #: An open element that a start tag closes, and the elements at which the search for it ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -59,17 +61,20 @@ _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>?|<[!?/][^>]*+>?",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|href|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_LETTER = re.compile(r"[^\W_]")
 _MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hash", "main")
+    #: ``words``: has text of its own or below that is neither marked nor a link or control; ``prose``: in running text.
+    __slots__ = ("tag", "attributes", "children", "hash", "main", "marked", "words", "prose")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
         self.hash, self.main = b"", False
+        self.marked = self.words = self.prose = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -180,7 +185,7 @@ class Page:
         above = {id(self.root): (False, False)}
         for node in order:
             under, strictly = above[id(node)]
-            marked = _marked(node)
+            marked = node.marked = _marked(node)
             below = under or marked, strictly or marked and (node.tag in DROPPED or _by_attribute(node))
             for child in node.children:
                 if isinstance(child, Node):
@@ -196,9 +201,17 @@ class Page:
             for child in node.children:
                 if isinstance(child, Node):
                     digest.update(b"\1" + child.hash)
+                    if not child.marked:
+                        node.words |= child.words
+                        node.prose |= child.prose
                 elif text := " ".join(child.split()):
                     digest.update(b"\2" + text.encode())
+                    node.words = node.words or _LETTER.search(text) is not None
             node.hash = digest.digest()
+            if node.tag in CONTROLS and (node.tag != "a" or "href" in node.attributes):
+                node.words = node.prose = False
+            elif node.tag in RUNNING:
+                node.prose |= node.words
         self.declared = False
         self._declare(clean or mains)
         if any_ and not self.declared and not self.blocks():
@@ -215,15 +228,17 @@ class Page:
 
     def _walk(self, template: frozenset[bytes] | set[bytes]):
         """Yield (node, inside a declared article, dropped by itself, dropped as template), parents first, whole subtrees dropped."""
-        todo = [(self.root, False)]
+        todo = [(self.root, False, False)]
         while todo:
-            node, inside = todo.pop()
-            marked = _marked(node) and (inside or not node.main) or node.tag == "header" and not inside and not node.main
-            eligible = node is not self.root and node.tag not in INLINE and not node.main and not (inside and node.tag in RUNNING)
+            node, inside, running = todo.pop()
+            marked = node.marked and (inside or not node.main) or node.tag == "header" and not inside and not node.main
+            safe = inside and (node.tag in RUNNING or node.prose or running and node.words)
+            eligible = node is not self.root and node.tag not in INLINE and not node.main and not safe
             yield node, inside, marked, eligible and node.hash in template, eligible
             if not marked and not (eligible and node.hash in template):
                 within = inside or _declared(node)
-                todo.extend((c, within) for c in reversed(node.children) if isinstance(c, Node))
+                below = within and (running or node.tag in RUNNING)
+                todo.extend((c, within, below) for c in reversed(node.children) if isinstance(c, Node))
 
     def subtrees(self) -> list[tuple[bytes, bool]]:
         """Hashes of the subtrees that may be template, and whether only that would remove them."""

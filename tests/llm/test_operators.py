@@ -184,6 +184,19 @@ def test_html_templates(spark):
     assert found[9] == found[10] == "" and found[11] == "Shared box\n\nAlone"
 
 
+def test_html_quotes_of_articles_stay(spark):
+    quotes = ["<div><p>A passage</p></div>", "<ul><li>A passage</li></ul>", "<table><tr><td>A passage</td></tr></table>",
+              "<section><h2>A passage</h2></section>", "<blockquote><div>A passage</div></blockquote>",
+              "<div><a name=top><p>A passage</p></a></div>"]
+    links = '<ul><li><a href="/a">One</a> |</li><li><a href="/b">Two</a></li></ul><div><span>Shared box</span></div>'
+    rows = [
+        (100 * k + i, f"https://h{k}.org/{i}", f"<article><p>Text number {i}</p>{quote}{links}</article>")
+        for k, quote in enumerate(quotes) for i in range(5)
+    ]
+    found = htmltext.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in found} == {(i, f"Text number {i % 100}\n\nA passage") for i, _, _ in rows}
+
+
 def test_length_histogram(spark):
     sizes = [5, 5, 7, 2000, 0, 3000]
     df = spark.createDataFrame([(s,) for s in [*sizes, None]], "n_tokens bigint")
