@@ -67,14 +67,19 @@ _MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+#: How a subtree is judged, see ``Page.subtrees`` and ``templates``.
+BULK, LINE, BOX = 0, 1, 2
+
+
 class Node:
-    #: ``words``: has text of its own or below that is neither marked nor a link or control; ``prose``: in running text.
-    __slots__ = ("tag", "attributes", "children", "hash", "main", "marked", "words", "prose")
+    #: ``size``: characters of text that no marked element holds; ``words``: has text of its own or below that is neither marked nor a link or control; ``prose``: in running text.
+    __slots__ = ("tag", "attributes", "children", "hash", "main", "marked", "size", "words", "prose")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
         self.hash, self.main = b"", False
         self.marked = self.words = self.prose = False
+        self.size = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -202,10 +207,12 @@ class Page:
                 if isinstance(child, Node):
                     digest.update(b"\1" + child.hash)
                     if not child.marked:
+                        node.size += child.size
                         node.words |= child.words
                         node.prose |= child.prose
                 elif text := " ".join(child.split()):
                     digest.update(b"\2" + text.encode())
+                    node.size += len(text)
                     node.words = node.words or _LETTER.search(text) is not None
             node.hash = digest.digest()
             if node.tag in CONTROLS and (node.tag != "a" or "href" in node.attributes):
@@ -240,9 +247,18 @@ class Page:
                 below = within and (running or node.tag in RUNNING)
                 todo.extend((c, within, below) for c in reversed(node.children) if isinstance(c, Node))
 
-    def subtrees(self) -> list[tuple[bytes, bool]]:
-        """Hashes of the subtrees that may be template, and whether only that would remove them."""
-        return list({(node.hash, not marked) for node, _, marked, _, eligible in self._walk(set()) if eligible or marked})
+    def subtrees(self) -> list[tuple[bytes, int, bool]]:
+        """Hashes of the subtrees that may be template, how they are judged, and whether only that would remove them.
+
+        ``BULK`` holds nine tenths of the page's text, ``LINE`` is an element of running text, ``BOX`` any other.
+        """
+        walk = list(self._walk(set()))
+        articles = [n for n, inside, *_ in walk if not inside and n.main and _declared(n)]
+        total = sum(n.size for n in articles or [self.root])
+        return list({
+            (n.hash, BULK if 10 * n.size >= 9 * total else LINE if n.tag in RUNNING else BOX, not marked)
+            for n, _, marked, _, eligible in walk if eligible or marked
+        })
 
     def blocks(self, template: set[bytes] = frozenset()) -> list[str]:
         """The blocks of text that remain, in page order."""
@@ -290,7 +306,7 @@ def _read(pages: DataFrame, url: str, source: str, text: str) -> DataFrame:
     def build():
         def run(sources):
             found = [Page(t) for t in sources]
-            marks = [[h.hex() + ("1" if alone else "0") for h, alone in page.subtrees()] for page in found]
+            marks = [[f"{h.hex()}{kind}{alone:d}" for h, kind, alone in page.subtrees()] for page in found]
             return ["\n\n".join(page.blocks()) for page in found], marks
 
         return run
@@ -299,31 +315,39 @@ def _read(pages: DataFrame, url: str, source: str, text: str) -> DataFrame:
     return materialise(add_columns(keyed, [source], [(text, "string"), ("_marks", "array<string>")], build).drop(source), "subtrees")
 
 
-def templates(read: DataFrame, text: str, min_pages: int, min_share: float) -> DataFrame:
+def templates(read: DataFrame, text: str, min_pages: int, min_share: float, line_pages: int) -> DataFrame:
     """``(_page, _cut)``: for pages that hold template nothing else would remove, the hashes of those subtrees.
 
     A subtree is template of a host if it stands on at least ``min_pages`` pages
-    of it with different main texts, and on ``min_share`` of all its different
-    ones. Copies of a page count once, so a copied article is no template.
+    of it with different main texts, however many the host has. Two kinds need
+    more, since large hosts repeat them without being template. One line of
+    running text: ``min_share`` of all different main texts, or ``line_pages``.
+    Whatever holds nine tenths of its page's text, as in variants of one article:
+    ``min_share``. Copies of a page count once, so a copied article is no template.
     """
     seen = read.select("_page", "_host", F.xxhash64(F.col(text)).alias("_main"), "_marks")
     each = seen.select("_page", "_host", "_main", F.explode("_marks").alias("_mark")).select(
-        "_page", "_host", "_main", F.substring("_mark", 1, 16).alias("_hash"), F.col("_mark").endswith("1").alias("_alone")
-    )
+        "_page", "_host", "_main", F.substring("_mark", 1, 16).alias("_hash"),
+        F.substring("_mark", 17, 1).cast("int").alias("_kind"), F.col("_mark").endswith("1").alias("_alone"),
+    )
     # Two steps of partial sums: a template of a huge host shrinks before it is shuffled.
-    on = each.select("_host", "_hash", "_main").distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_on"))
+    once = each.groupBy("_host", "_hash", "_main").agg(F.max("_kind").alias("_kind"))
+    on = once.groupBy("_host", "_hash").agg(
+        F.count(F.lit(1)).alias("_on"), F.count_if(F.col("_kind") == LINE).alias("_lines"),
+        F.count_if(F.col("_kind") == BOX).alias("_boxes"),
+    )
     sizes = seen.select("_host", "_main").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_of"))
+    many = (F.col("_boxes") >= min_pages) | (F.col("_lines") >= line_pages) | (F.col("_on") >= min_share * F.col("_of"))
     shared = materialise(
-        on.where(F.col("_on") >= min_pages).join(sizes, "_host").where(F.col("_on") >= min_share * F.col("_of"))
-        .select("_host", "_hash"),
-        "templates",
+        on.where(F.col("_on") >= min_pages).join(sizes, "_host").where(many).select("_host", "_hash"), "templates"
     )
     found = each.where("_alone").select("_page", "_host", "_hash").join(shared, ["_host", "_hash"])
     return materialise(found.groupBy("_page").agg(F.collect_set("_hash").alias("_cut")), "page-templates")
 
 
 def extract(
-    pages: DataFrame, url: str = "url", source: str = "html", text: str = "text", min_pages: int = 5, min_share: float = 0.05
+    pages: DataFrame, url: str = "url", source: str = "html", text: str = "text", min_pages: int = 5, min_share: float = 0.05,
+    line_pages: int = 50,
 ) -> DataFrame:
     """The pages with their main text in place of the source: blocks in page order, two line feeds between.
 
@@ -334,7 +358,7 @@ def extract(
     """
     pages = pages.drop(text)
     read = _read(pages, url, source, text)
-    cut = templates(read, text, min_pages, min_share)
+    cut = templates(read, text, min_pages, min_share, line_pages)
     held = [c for c in read.columns if c not in ("_page", "_host", "_marks")]
     done = read.join(cut.select("_page"), "_page", "left_anti").select(*held)
 

@@ -197,6 +197,20 @@ def test_html_quotes_of_articles_stay(spark):
     assert {(r.page_id, r.text) for r in found} == {(i, f"Text number {i % 100}\n\nA passage") for i, _, _ in rows}
 
 
+def test_html_templates_of_large_hosts(spark):
+    box, line, notice = "<div><p>Shared box</p></div>", "<p>A short quote</p>", "<p>Notice in a line</p>"
+    story = "<div>" + "The same long story in many variants. " * 20 + "</div>"
+    rows = []
+    for i in range(2000):
+        parts = [box] * (i % 33 == 0) + [line] * (i % 100 == 1) + [notice] * (i % 33 == 2) + [story] * (i % 100 == 3)
+        rows.append((i, f"https://large.org/{i}", f"<body><p>Text number {i} of this host</p>{''.join(parts)}</body>"))
+    found = htmltext.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    left = {r.page_id: r.text.split("\n\n")[1:] for r in found}
+    assert len(found) == 2000 and {r.text.split("\n\n")[0] for r in found} == {f"Text number {i} of this host" for i in range(2000)}
+    for text, pages in (("Shared box", 0), ("A short quote", 20), ("Notice in a line", 0), ("The same long story", 20)):
+        assert sum(any(b.startswith(text) for b in blocks) for blocks in left.values()) == pages
+
+
 def test_length_histogram(spark):
     sizes = [5, 5, 7, 2000, 0, 3000]
     df = spark.createDataFrame([(s,) for s in [*sizes, None]], "n_tokens bigint")
