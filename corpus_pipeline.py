@@ -5,8 +5,8 @@ Parquet to the shared folder and read again. All stages but the last return the
 columns of ``documents``. The first two stages look at texts only, so their
 models and links do not depend on other columns. SQL cannot express the
 models, fingerprints, rounding and merges of the stages, hence no
-``ORACLE_SQL``; ``tests/llm`` hold the pipeline against a version in plain
-Python.
+``ORACLE_SQL``. ``tests/llm`` check columns, counts of groups, round trips and
+empty inputs; which rows ``run`` gives is not held against another version.
 """
 
 from __future__ import annotations
