@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from . import bpe, hostrules, htmltext, imatch, langid, lengths, mixing, pii, simhash, toxicity
+from ..session import materialise, scratch_path
+from . import bpe, hostrules, htmltext, imatch, langid, lengths, mixing, pii, simhash, toxicity, warc
 from .common import documents, fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -129,13 +129,39 @@ def op10_imatch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    archives = scratch_path(spark, "warc")
+    warc.write_archives(warc.typed(warc.stage(pages)), archives)
+    found = warc.resolve(warc.reassemble(warc.read_records(spark, archives)))
+    return found.select(
+        F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"), "status",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_byte_bpe, op3_html_text, op4_host_quality, op5_mix, op6_simhash, op7_token_lengths, op8_toxicity,
-        op9_personal_data, op10_imatch,
+        op9_personal_data, op10_imatch, op12_warc,
     )
 }
 
 #: Twins in DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Base 32 takes the digest's 40 hexadecimal digits five at a time, as four letters of five bits each.
+    "op12_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        d as (select page_id, cast(strlen(h) as bigint) as payload_bytes, sha1(h) as x, max(page_id) over (partition by h) as top
+              from p),
+        b as (select *, list_transform(range(8), lambda k: cast('0x' || substr(x, cast(5 * k + 1 as int), 5) as int)) as v from d)
+        select page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda k:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                          cast((v[cast(k // 4 + 1 as int)] >> cast(5 * (3 - k % 4) as int)) & 31 as int) + 1, 1)),
+                   'string_agg', '') as payload_digest,
+               case when page_id = top then 'response' else 'revisit' end as record_type,
+               case when page_id <> top then top end as refers_to, 'complete' as status
+        from b""",
+}
