@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
-from . import bpe, hostrules, htmltext, imatch, langid, lengths, mixing, pii, simhash, toxicity, warc
+from . import bpe, hostrules, htmltext, imatch, langid, lengths, mixing, pii, simhash, spelling, toxicity, warc
 from .common import documents, fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -140,11 +140,16 @@ def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = materialise(spelling.counted_words(documents(spark, folder)), "vocabulary")
+    return spelling.variants(vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_byte_bpe, op3_html_text, op4_host_quality, op5_mix, op6_simhash, op7_token_lengths, op8_toxicity,
-        op9_personal_data, op10_imatch, op12_warc,
+        op9_personal_data, op10_imatch, op12_warc, op13_spelling_variants,
     )
 }
 
