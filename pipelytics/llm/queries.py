@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
-from . import bpe, hostrules, htmltext, imatch, langid, lengths, mixing, pii, simhash, spelling, toxicity, warc
+from . import bpe, hostrules, htmltext, imatch, langid, lengths, mixing, pii, ranked, simhash, spelling, toxicity, warc
 from .common import documents, fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -129,6 +129,10 @@ def op10_imatch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.rank(documents(spark, folder).select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     archives = scratch_path(spark, "warc")
@@ -149,12 +153,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_byte_bpe, op3_html_text, op4_host_quality, op5_mix, op6_simhash, op7_token_lengths, op8_toxicity,
-        op9_personal_data, op10_imatch, op12_warc, op13_spelling_variants,
+        op9_personal_data, op10_imatch, op11_ranked_search, op12_warc, op13_spelling_variants,
     )
 }
 
 #: Twins in DuckDB SQL, where SQL can express the operator.
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": r"""
+        with d as (select doc_id, regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+        s as (select cast(count(*) as bigint) as docs, cast(sum(len(terms)) as bigint) as words from d where len(terms) > 0),
+        q as (select item_id, term, cast(count(*) as bigint) as q from (
+                  select item_id, unnest(regexp_extract_all(
+                      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by 1, 2),
+        t as (select doc_id, n, term, cast(count(*) as bigint) as tf from (
+                  select doc_id, cast(len(terms) as bigint) as n, unnest(terms) as term from d)
+              where term in (select term from q) group by 1, 2, 3),
+        w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::double)) as bigint) as w
+              from t, s group by term, docs),
+        f as (select doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)) as f from t, s),
+        r as (select item_id, doc_id, cast(sum(q * w * f) as bigint) as score from q join w using (term) join f using (term)
+              group by 1, 2),
+        o as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from r where score > 0)
+        select item_id, cast(place as int) as rank, doc_id, score from o where place <= 10""",
     # Base 32 takes the digest's 40 hexadecimal digits five at a time, as four letters of five bits each.
     "op12_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
