@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -71,7 +71,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if _DIGIT.search(text) is None:
         return spans
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
             spans.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -372,5 +372,6 @@ def mask(docs: DataFrame, field: Field, text: str = "text", cut: float = 0.9) ->
 
         return run
 
-    made = add_columns(docs, [text], [("_masked", "string")], build)
-    return made.select(*[F.col("_masked").alias(c) if c == text else F.col(c) for c in docs.columns])
+    [name] = fresh(docs.columns, "masked")
+    made = add_columns(docs, [text], [(name, "string")], build)
+    return made.select(*[F.col(name).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
