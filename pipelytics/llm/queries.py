@@ -66,7 +66,7 @@ def op7_token_lengths(spark: SparkSession, folder: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, docs: DataFrame, folder: str) -> toxicity.Model:
     """Trained on the labelled documents outside the held-out fold."""
     labels = table(spark, folder, "labels").where(fold("doc_id", 5) != 0)
-    return toxicity.train(*toxicity.training_rows(docs, labels))
+    return toxicity.train_in_task(toxicity.training_rows(docs, labels))
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:

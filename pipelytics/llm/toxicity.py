@@ -12,11 +12,14 @@ answers for its most toxic window only, once a first pass has found it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import add_columns
 
 _WORD = re.compile(r"[^\W_]+")
@@ -221,12 +224,14 @@ def training_rows(
     text: str = "text",
     rows_per_label: tuple[int, int] = (4000, 2000),
     most_chars: int = 200_000,
-) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of a bounded sample: about ``rows_per_label`` rows of label 0 and of label 1.
+    most_bytes: int = 100_000_000,
+) -> DataFrame:
+    """``_k, _t, _y``: a bounded sample of texts and labels, about ``rows_per_label`` rows of label 0 and of label 1.
 
     The sample is drawn by a hash of the key, so reruns agree. Only its keys,
-    whose number is bounded, are sent to the documents. Texts of more than
-    ``most_chars`` characters are not learnt from.
+    whose number is bounded, are sent to the documents; a key with several texts
+    gives one of them. Texts of more than ``most_chars`` characters are not learnt from,
+    nor what goes beyond ``most_bytes`` of text in all.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -239,11 +244,31 @@ def training_rows(
         docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
         .where(F.length("_t") <= most_chars)
         .join(F.broadcast(chosen), "_k")
-        .select("_k", "_t", "_y")
-        .toPandas()
-        .sort_values(["_k", "_t"], ignore_index=True)
+        .groupBy("_k", "_y")
+        .agg(F.min(F.struct(F.xxhash64("_t").alias("hash"), F.col("_t").alias("body"))).alias("_one"))
+        .select("_k", "_y", F.col("_one.body").alias("_t"))
     )
-    return rows["_t"].tolist(), rows["_y"].astype(int).tolist()
+    sample = materialise(rows, "training-sample")
+    # The sample is a few thousand rows, whatever the table, so one task may add up its sizes.
+    upto = F.sum(F.octet_length("_t")).over(Window.orderBy(F.xxhash64("_k", F.lit(5)), "_k"))
+    return sample.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).drop("_upto")
+
+
+def train_in_task(sample: DataFrame, **options) -> Model:
+    """``train`` on the rows of ``training_rows`` in one Spark task; the driver receives the model only."""
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"_k": [], "_t": [], "_y": []}), *parts]).sort_values(["_k", "_t"], ignore_index=True)
+        if len(rows):
+            model = train(rows["_t"].tolist(), rows["_y"].astype(int).tolist(), **options)
+            numbers = {c: [getattr(model, c)] for c in ("bias", "bits", "window", "least")}
+            yield pd.DataFrame({"weights": [model.weights.astype("<f8").tobytes()], **numbers})
+
+    schema = "weights binary, bias double, bits int, window int, least int"
+    made = sample.select("_k", "_t", "_y").repartition(1).mapInPandas(fit, schema).collect()
+    if not made:
+        return train([], [], **options)
+    return Model(np.frombuffer(bytes(made[0]["weights"]), dtype="<f8"), *made[0][1:])
 
 
 def score(
