@@ -5,8 +5,9 @@ Parquet to the shared folder and read again. All stages but the last return the
 columns of ``documents``. The first two stages look at texts only, so their
 models and links do not depend on other columns. SQL cannot express the
 models, fingerprints, rounding and merges of the stages, hence no
-``ORACLE_SQL``. ``tests/llm`` check columns, counts of groups, round trips and
-empty inputs; which rows ``run`` gives is not held against another version.
+``ORACLE_SQL``. ``tests/llm`` check columns, counts of groups, round trips,
+empty inputs and clashing column names; which rows ``run`` gives is not held
+against another version.
 """
 
 from __future__ import annotations
@@ -16,17 +17,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelytics.llm import bpe, mixing, pii, simhash, toxicity
+from pipelytics.llm.common import fresh
 from pipelytics.llm.queries import RANKS, toxicity_model
 from pipelytics.session import materialise
 
 ORACLE_SQL = None
+#: Copies of a row that one task writes at a time.
+RUN = 10_000
+
+
+def _own(docs: DataFrame) -> list:
+    """The columns of ``docs`` as they are, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below 0.5. Null and empty texts have no toxic words and stay."""
     model = toxicity_model(spark, docs, sf_dir)
-    scored = toxicity.score(docs, model, out="_score", predicted="_toxic")
-    return scored.where((F.col("_toxic") == 0) | (F.coalesce(F.length("text"), F.lit(0)) == 0)).select(*docs.columns)
+    points, toxic = fresh(docs.columns, "_score", "_toxic")
+    scored = toxicity.score(docs, model, out=points, predicted=toxic)
+    return scored.where((F.col(toxic) == 0) | (F.coalesce(F.length("text"), F.lit(0)) == 0)).select(*_own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,44 +45,51 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share the least ``doc_id`` are told apart by a hash of the row;
     of equal rows one stays. A group without any ``doc_id`` keeps the row with the least hash.
     """
-    whole = F.xxhash64(*docs.columns)
-    named = docs.withColumn("_row", whole)
-    groups = simhash.near_duplicates(
-        named.select(F.struct("doc_id", "_row").alias("_key"), F.col("text").alias("_text")), "_key", "_text"
-    )
+    row, least, held, n = fresh(docs.columns, "_row", "_id", "_hash", "_n")
+    named = docs.withColumn(row, F.xxhash64(*_own(docs)))
+    keys = F.struct(F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
+    groups = simhash.near_duplicates(named.select(keys.alias("_key"), F.col("text").alias("_text")), "_key", "_text")
     kept = materialise(
-        groups.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "kept"
-    ).select(F.col("_key.doc_id").alias("_id"), F.col("_key._row").alias("_hash"), "_n")
-    joined = named.join(kept, (F.col("_row") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = joined.where("_n = 1").select(*docs.columns)
-    return once.unionByName(joined.where("_n > 1").select(*docs.columns).dropDuplicates())
+        groups.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count(F.lit(1)).alias(n)), "kept"
+    ).select(F.col("_key.doc_id").alias(least), F.col("_key.row").alias(held), n)
+    # One row per kept document: it grows with the input, so it is never broadcast.
+    joined = named.join(kept.hint("merge"), (F.col(row) == F.col(held)) & F.col("doc_id").eqNullSafe(F.col(least)))
+    once = joined.where(F.col(n) == 1).select(*_own(docs))
+    return once.unionByName(joined.where(F.col(n) > 1).select(*_own(docs)).dropDuplicates())
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts replaced by its kind; ``n_chars`` follows the new text."""
     field = pii.train(pii.training_texts(docs))
     masked = pii.mask(docs, field)
-    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*_own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents that it does not take go."""
-    named = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    row, key, copies, rows, copy = fresh(docs.columns, "_row", "_key", "_copies", "_rows", "_copy")
+    named = docs.withColumn(row, F.xxhash64(*_own(docs)))
     sized = materialise(
-        named.select(F.col("_row").alias("_key"), "source", mixing.word_count(F.col("text")).alias("size")), "sizes"
+        named.select(F.col(row).alias("_key"), "source", mixing.word_count(F.col("text")).alias("size")), "sizes"
     )
-    copies = mixing.mix(sized, key="_key")
+    mixed = mixing.mix(sized, key="_key")
     # Equal rows are interchangeable: their copies add up, and are dealt out evenly.
     per_row = materialise(
-        copies.groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies"
+        mixed.groupBy(F.col("_key").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)), "copies"
+    )
+    joined = named.join(per_row.where(F.col(copies) > 0).hint("merge"), F.col(row) == F.col(key))
+    single = joined.where(F.col(rows) == 1).select(
+        *_own(docs), F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))).alias(copy)
     )
-    joined = named.join(per_row.where("_copies > 0"), F.col("_row") == F.col("_key"))
-    single = joined.where("_rows = 1").select(
-        *docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")
+    # The copies of a row that repeats are unbounded: runs of them are dealt over the tasks before they are written out.
+    merged = joined.where(F.col(rows) > 1).select(*_own(docs), copies).dropDuplicates()
+    runs = merged.select(
+        *_own(docs), F.col(copies), F.explode(F.sequence(F.lit(0), (F.col(copies) - 1), F.lit(RUN))).alias(copy)
     )
-    merged = joined.where("_rows > 1").select(*docs.columns, "_copies").dropDuplicates()
-    several = merged.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
-    return single.select(*docs.columns).unionByName(several.select(*docs.columns))
+    length = F.least(F.lit(RUN), F.col(copies) - F.col(copy)).cast("int")
+    dealt = runs.repartition(*_own(docs), F.col(copy))
+    several = dealt.select(*_own(docs), F.explode(F.array_repeat(F.lit(0), length)).alias(key))
+    return single.select(*_own(docs)).unionByName(several.select(*_own(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
