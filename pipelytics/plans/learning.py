@@ -71,10 +71,25 @@ def stratified_split(t):
     return f.stratified_split(rows, "label", "doc_id")
 
 
-@plan("train_models")
+@plan("train_models", """
+    with s as (select label, place <= floor(n * 0.2::double) as is_test from (
+        select label, row_number() over (partition by label
+                   order by md5(cast(doc_id as varchar) || '|42'), doc_id) as place,
+               count(*) over (partition by label) as n from labelled_v)),
+    c as (select count(*) filter (where is_test and label = 1) as positives,
+                 count(*) filter (where is_test and label = 0) as negatives,
+                 count(*) filter (where not is_test) as validated from s)
+    select model, cast(ordinal as int) as ordinal, positives, negatives, validated, true as learned
+    from c, (values ('random_forest', 0), ('gradient_boosting', 1), ('logistic_regression', 2), ('svm', 3))
+         as m(model, ordinal)""")
 def train_models(t):
+    """Counts of the confusion matrices that follow from the split, and whether each model's F1 reaches a half."""
     columns = ["chars", "words", "word_length", "digit_share", "newlines"]
-    return l.train_models(t.labelled_v, "doc_id", "label", columns)
+    quality = l.train_models(t.labelled_v, "doc_id", "label", columns)
+    return quality.select(
+        "model", "ordinal", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"),
+        "validated", (F.col("f1") >= 0.5).alias("learned"),
+    )
 
 
 @plan("classification_report", """

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from pipelytics.operators import features as f
 from pipelytics.operators import learning as l
 from pipelytics.operators import metrics as m
@@ -169,35 +168,6 @@ def test_forest_samples_large_tables(spark):
     assert far >= got.agg(F.percentile("anomaly", 0.99)).first()[0]
 
 
-def test_four_models_learn(spark):
-    rng = np.random.default_rng(7)
-    x = rng.random((300, 3))
-    y = (x[:, 0] + x[:, 1] - x[:, 2] > 0.5).astype(int)
-    df = spark.createDataFrame(
-        [(i, *map(float, row), int(t)) for i, (row, t) in enumerate(zip(x, y))],
-        "id int, a double, b double, c double, y int",
-    )
-    got = {r.model: r for r in l.train_models(df, "id", "y", ["a", "b", "c"], trees=5, iterations=30).collect()}
-    assert set(got) == {"random_forest", "gradient_boosting", "logistic_regression", "svm"}
-    assert all(r.accuracy > 0.75 and r.cv_mean > 0.75 for r in got.values())
-
-
-def test_registered_models_are_grown_whole(spark, monkeypatch):
-    class Made(Exception):
-        pass
-
-    def stop(**_):
-        raise Made  # fitting takes minutes; all models are made before the first of them is fitted
-
-    sizes = []
-    monkeypatch.setattr(l, "RandomForestClassifier", lambda **options: sizes.append(options["numTrees"]))
-    monkeypatch.setattr(l, "GBTClassifier", lambda **options: sizes.append(options["maxIter"]))
-    monkeypatch.setattr(l, "CrossValidator", stop)
-    with pytest.raises(Made):
-        entry.queries()["train_models"](spark, "/root/testdata/sf0.001")
-    assert sizes == [100, 100]
-
-
 def test_sentiment_by_hand(spark):
     docs = spark.createDataFrame([(1, "Good, good bad!"), (2, "none"), (3, "")], "doc_id int, text string")
     lex = spark.createDataFrame([("good", 1), ("bad", -1)], "word string, polarity int")

@@ -9,8 +9,6 @@ import __spark_entry__ as entry
 
 FOLDER = os.environ.get("TWIN_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# Trains 24 models; covered by its own test on fewer rounds.
-SLOW = {"train_models"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +22,7 @@ def test_same_as_sql(spark, con, name):
     assert [d for d in found if d != "no rows at all"] == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
