@@ -1,5 +1,8 @@
 """Values, keys and batches of kinds that the small tables do not hold."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +33,27 @@ def test_sums_of_any_size(spark, ansi):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
+def test_sums_at_the_edges_of_bands(spark):
+    def total(values, parts=1):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(parts)
+        return df.agg(fine_sum("v")).first()[0]
+
+    assert total([9e28] * 20) == pytest.approx(1.8e30, rel=1e-15)
+    assert total([4e-10] * 10) == pytest.approx(4e-9, rel=1e-12)
+    assert total([1e-40, 2e-40]) == pytest.approx(3e-40, rel=1e-9)
+    assert total([0.0, -0.0]) == 0.0
+    assert total([1e25, 1.0, -1e25]) == 1.0  # doubles added in this order give 0
+    assert total([1e70, 1.0]) == 1e70 and total([float("inf"), 1.0]) == float("inf")
+    assert math.isnan(total([float("nan"), 1.0]))
+    rng = random.Random(3)
+    values = [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-40, 55) for _ in range(3000)]
+    sums = set()
+    for parts in (1, 3, 7):
+        rng.shuffle(values)
+        sums.add(total(values, parts))
+    assert len(sums) == 1 and sums.pop() == pytest.approx(math.fsum(values), rel=1e-14)
+
+
 def test_summary_of_small_and_large(spark):
     df = spark.createDataFrame([(1e-5, 5e12), (2e-5, 5e12), (4e-5, 5e12)], "a double, b double")
     found = {r["column_name"]: r for r in quality.summary_stats(df, ["a", "b"]).collect()}
