@@ -76,90 +76,130 @@ def plan_cost(tasks: DataFrame) -> DataFrame:
 
 
 def critical_path(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Number of tasks on the longest chain of each workflow.
-
-    An upstream id that names no task counts as one more link. Tasks are
-    settled level by level once all their upstreams are settled. What cannot
-    be settled lies on a cycle or behind one; there the longest chain without
-    a repeated task is searched from every open task.
+    """Number of tasks on the longest chain of each workflow, without a repeated task.
+
+    An upstream id that names no task counts as one more link. Pairs of tasks that
+    a walk of 1, 2, 4, 8 ... links joins are found by joining those of half the
+    length; then the longest walk is put together from the longest pieces down, so a
+    chain of n tasks takes about 2 log n rounds. A walk with more links than there are tasks
+    shows a cycle. Only tasks on cycles are searched path by path, which can be
+    exponential in the size of a cycle, as the longest chain without repetition
+    is; every way through a cycle then stands in the graph as a chain of its own.
     """
     nodes = tasks.select("dag_id", "task_id").distinct()
     links = clean_edges(edges).select("dag_id", "task_id", "upstream_id").distinct()
     links = links.join(nodes, ["dag_id", "task_id"], "left_semi")
-    known = nodes.select("dag_id", F.col("task_id").alias("upstream_id"), F.lit(True).alias("known"))
-    links = materialise(links.join(known, ["dag_id", "upstream_id"], "left"), "links")
-    needs = links.groupBy("dag_id", "task_id").agg(
-        F.count_if("known").alias("open"),
-        F.max(F.when(F.col("known").isNull(), 2).otherwise(1)).alias("depth"),
-    )
-    inner = links.where("known").select("dag_id", "task_id", "upstream_id")
-    # open: upstreams not settled yet; depth: the longest chain known so far.
-    state = materialise(
-        nodes.join(needs, ["dag_id", "task_id"], "left").select(
-            "dag_id", "task_id",
-            F.coalesce("open", F.lit(0)).cast("bigint").alias("open"),
-            F.coalesce("depth", F.lit(1)).cast("bigint").alias("depth"),
-        ),
-        "depths",
-    )
-    settled = state.where("open = 0")
-    waiting = state.where("open > 0")
-    done = settled
-    while not settled.isEmpty() and not waiting.isEmpty():
-        ready = settled.select("dag_id", F.col("task_id").alias("upstream_id"), "depth")
-        gains = inner.join(ready, ["dag_id", "upstream_id"]).groupBy("dag_id", "task_id").agg(
-            F.count(F.lit(1)).alias("hit"), (F.max("depth") + 1).alias("reach")
-        )
-        state = materialise(
-            waiting.join(gains, ["dag_id", "task_id"], "left").select(
-                "dag_id", "task_id",
-                (F.col("open") - F.coalesce("hit", F.lit(0))).alias("open"),
-                F.greatest("depth", F.coalesce("reach", F.lit(1))).alias("depth"),
-            ),
-            "depths",
-        )
-        settled = state.where("open = 0")
-        waiting = state.where("open > 0")
-        done = done.unionByName(settled)
-    best = done.select("dag_id", "depth")
-    if not waiting.isEmpty():
-        best = best.unionByName(_longest_in_cycles(waiting, inner))
-    return best.groupBy("dag_id").agg(F.max("depth").alias("critical_path"))
-
-
-def _longest_in_cycles(stuck: DataFrame, inner: DataFrame) -> DataFrame:
-    """Longest chains without repetition among tasks that never became ready.
-
-    ``depth`` of such a task already holds its best chain through settled
-    upstreams, so only paths among the stuck tasks are followed. Of a path only
-    its end and the set of its tasks matter, so paths that differ in order alone
-    are followed once.
+    links = materialise(links.select("dag_id", F.col("task_id").alias("at"), F.col("upstream_id").alias("to")), "links")
+    walks, core = _walks(links)
+    if core is None:
+        return _longest(nodes.select("dag_id", F.col("task_id").alias("at")), walks)
+    looped = core.select("dag_id").distinct()
+    plain = nodes.join(looped, "dag_id", "left_anti").select("dag_id", F.col("task_id").alias("at"))
+    unrolled = _unrolled(links.join(looped, "dag_id", "left_semi"), core)
+    again, rest = _walks(unrolled)
+    assert rest is None, "ways through cycles are chains"
+    starts = unrolled.select("dag_id", "at").distinct()
+    return _longest(plain, walks).unionByName(_longest(starts, again))
+
+
+def _walks(links: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Pairs joined by walks of 1, 2, 4 ... links, as long as there are any; and the core of workflows with cycles.
+
+    The core is what a walk of more links than tasks both leaves and enters: tasks on
+    cycles and between them. Workflows with a core are dropped from the longer walks.
     """
-    here = stuck.select("dag_id", "task_id", "depth")
-    targets = here.select("dag_id", F.col("task_id").alias("upstream_id"), F.col("depth").alias("up_depth"))
-    hops = materialise(
-        inner.join(here.select("dag_id", "task_id"), ["dag_id", "task_id"], "left_semi")
-        .join(targets, ["dag_id", "upstream_id"])
-        .select("dag_id", F.col("task_id").alias("at"), "upstream_id", "up_depth"),
-        "hops",
-    )
-    best = here.groupBy("dag_id").agg(F.max("depth").alias("depth"))
-    paths = here.select("dag_id", F.col("task_id").alias("at"), F.array("task_id").alias("path"))
+    limits = materialise(links.groupBy("dag_id").agg(F.count_distinct("at").alias("limit")), "limits")
+    walks, core, length = [links], None, 1
+    while True:
+        length *= 2
+        on = walks[-1].select("dag_id", F.col("at").alias("to"), F.col("to").alias("end"))
+        longer = walks[-1].join(on, ["dag_id", "to"]).select("dag_id", "at", F.col("end").alias("to")).distinct()
+        longer = materialise(longer, "walks")
+        looped = longer.join(limits.where(F.col("limit") < length), "dag_id", "left_semi")
+        if not looped.isEmpty():
+            both = looped.select("dag_id", "at").intersect(looped.select("dag_id", F.col("to").alias("at")))
+            both = materialise(both, "core")
+            core = both if core is None else core.unionByName(both)
+            longer = longer.join(both.select("dag_id").distinct(), "dag_id", "left_anti")
+        if longer.isEmpty():
+            return walks, core
+        walks.append(longer)
+
+
+def _longest(starts: DataFrame, walks: list[DataFrame]) -> DataFrame:
+    """Tasks on the longest walk of each workflow: the longest piece that continues what is there, then shorter ones.
+
+    ``here`` holds where all walks of the length found so far end.
+    """
+    here, found = materialise(starts, "ends"), starts.select("dag_id", F.lit(1).cast("bigint").alias("n")).distinct()
+    for k in range(len(walks) - 1, -1, -1):
+        on = here.join(walks[k], ["dag_id", "at"]).select("dag_id", F.col("to").alias("at")).distinct()
+        on = materialise(on, "ends")
+        going = on.select("dag_id").distinct()
+        found = found.unionByName(going.select("dag_id", F.lit(1 << k).cast("bigint").alias("n")))
+        here = on.unionByName(here.join(going, "dag_id", "left_anti"))
+    return found.groupBy("dag_id").agg(F.sum("n").alias("critical_path"))
+
+
+def _cycles(inner: DataFrame) -> DataFrame:
+    """``dag_id, at, cycle``: the tasks that reach each other, named by the least of them."""
+    reach = materialise(inner, "reach")
+    size = reach.count()
     while True:
+        on = reach.select("dag_id", F.col("at").alias("to"), F.col("to").alias("end"))
+        more = reach.join(on, ["dag_id", "to"]).select("dag_id", "at", F.col("end").alias("to"))
+        reach = materialise(reach.unionByName(more).distinct(), "reach")
+        grown = reach.count()
+        if grown == size:
+            break
+        size = grown
+    back = reach.select("dag_id", F.col("to").alias("at"), F.col("at").alias("to"))
+    mutual = reach.join(back, ["dag_id", "at", "to"], "left_semi")
+    return materialise(mutual.groupBy("dag_id", "at").agg(F.min("to").alias("cycle")), "cycles")
+
+
+def _ways(within: DataFrame, members: DataFrame) -> DataFrame:
+    """``dag_id, first, last, n``: tasks on the longest chain without repetition between any two tasks of a cycle.
+
+    Of a chain only its ends and the set of its tasks matter, so chains that
+    differ in order alone are followed once.
+    """
+    paths = members.select("dag_id", F.col("at").alias("first"), F.col("at"), F.array("at").alias("path"))
+    ways = paths.select("dag_id", "first", F.col("at").alias("last"), F.lit(1).alias("n"))
+    while True:
+        grown = paths.join(within, ["dag_id", "at"]).where(~F.array_contains("path", F.col("to")))
         paths = materialise(
-            paths.join(hops, ["dag_id", "at"])
-            .where(~F.array_contains("path", F.col("upstream_id")))
-            .select(
-                "dag_id", F.col("upstream_id").alias("at"),
-                F.array_sort(F.concat("path", F.array("upstream_id"))).alias("path"), "up_depth",
-            )
-            .distinct(),
+            grown.select(
+                "dag_id", "first", F.col("to").alias("at"), F.array_sort(F.concat("path", F.array("to"))).alias("path")
+            ).distinct(),
             "paths",
         )
         if paths.isEmpty():
-            return best
-        found = paths.groupBy("dag_id").agg(
-            F.max(F.size("path") - 1 + F.col("up_depth")).alias("depth")
-        )
-        best = best.unionByName(found).groupBy("dag_id").agg(F.max("depth").alias("depth"))
-        paths = paths.drop("up_depth")
+            return materialise(ways, "ways")
+        found = paths.select("dag_id", "first", F.col("at").alias("last"), F.size("path").alias("n"))
+        ways = ways.unionByName(found).groupBy("dag_id", "first", "last").agg(F.max("n").alias("n"))
+
+
+def _unrolled(links: DataFrame, core: DataFrame) -> DataFrame:
+    """Links of the same chains without cycles: each way through a cycle is a chain, entered and left at its ends.
+
+    A node is ``(first, last, i)``: the i-th of a way, or a task by itself with i = 0.
+    """
+    ends = core.select("dag_id", F.col("at").alias("to"))
+    inner = links.join(core, ["dag_id", "at"], "left_semi").join(ends, ["dag_id", "to"], "left_semi").select("dag_id", "at", "to")
+    cycles = _cycles(inner)
+    cycle_of = cycles.select("dag_id", F.col("at").alias("to"), F.col("cycle").alias("next_cycle"))
+    marked = links.join(cycles, ["dag_id", "at"], "left").join(cycle_of, ["dag_id", "to"], "left")
+    same = F.coalesce(F.col("cycle") == F.col("next_cycle"), F.lit(False))
+    marked = materialise(marked.select("dag_id", "at", "to", same.alias("same")), "marked")
+    ways = _ways(marked.where("same").select("dag_id", "at", "to"), cycles)
+    node = lambda first, last, i: F.struct(first.alias("first"), last.alias("last"), i.cast("int").alias("i"))
+    first, last, n = F.col("first"), F.col("last"), F.col("n")
+    chains = ways.where("n > 1").select("dag_id", "first", "last", F.explode(F.sequence(F.lit(1), n - 1)).alias("k"))
+    chains = chains.select("dag_id", node(first, last, F.col("k")).alias("at"), node(first, last, F.col("k") + 1).alias("to"))
+    tails = ways.select("dag_id", F.col("last").alias("at"), node(first, last, n).alias("tail"))
+    heads = ways.select("dag_id", F.col("first").alias("to"), node(first, last, F.lit(1)).alias("head"))
+    alone = lambda c: node(F.col(c), F.col(c), F.lit(0))
+    outer = marked.where("not same").join(tails, ["dag_id", "at"], "left").join(heads, ["dag_id", "to"], "left")
+    outer = outer.select("dag_id", F.coalesce("tail", alone("at")).alias("at"), F.coalesce("head", alone("to")).alias("to"))
+    return materialise(chains.unionByName(outer), "unrolled")

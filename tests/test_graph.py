@@ -67,6 +67,31 @@ def test_deep_chain(spark):
     assert g.critical_path(*frames(spark, graph)).first().critical_path == n
 
 
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    n, rounds = 2000, []
+    kept = g.materialise
+    monkeypatch.setattr(g, "materialise", lambda df, name: rounds.append(name) or kept(df, name))
+    graph = {"chain": ([f"t{i}" for i in range(n)], [(f"t{i}", f"t{i-1}") for i in range(1, n)])}
+    assert g.critical_path(*frames(spark, graph)).first().critical_path == n
+    assert rounds.count("walks") == 11 and rounds.count("ends") == 12
+
+
+def test_ladder_and_tasks_behind_a_cycle(spark, monkeypatch):
+    """Two chains with rungs, and a cycle of three with long chains before and behind it."""
+    n = 40
+    ladder = [(f"{a}{i}", f"{b}{i-1}") for i in range(1, n) for a in "xy" for b in "xy"]
+    tail = [("a0", "b"), ("b", "c"), ("c", "a0"), ("c", "d0")] + [(f"d{i}", f"d{i+1}") for i in range(50)] + [("e", "a0"), ("f", "e")]
+    names = {t for pair in tail for t in pair}
+    graphs = {"ladder": ([f"{a}{i}" for i in range(n) for a in "xy"], ladder), "cycle": (sorted(names), tail)}
+    sets = []
+    kept = g.materialise
+    monkeypatch.setattr(g, "materialise", lambda df, name: sets.append(kept(df, name)) or sets[-1] if name == "paths" else kept(df, name))
+    got = dict(tuple(r) for r in g.critical_path(*frames(spark, graphs)).collect())
+    # f, e, a0, b, c, and d0 to d50.
+    assert got == {"ladder": n, "cycle": 5 + 51}
+    assert sum(s.count() for s in sets) <= 3 * 2 + 3 * 2 and len(sets) == 3
+
+
 def test_no_edges_at_all(spark):
     tasks, edges = frames(spark, GRAPHS)
     got = g.critical_path(tasks, edges.limit(0)).collect()
