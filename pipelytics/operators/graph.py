@@ -108,20 +108,23 @@ def _walks(links: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
     The core is what a walk of more links than tasks both leaves and enters: tasks on
     cycles and between them. Workflows with a core are dropped from the longer walks.
     """
-    limits = materialise(links.groupBy("dag_id").agg(F.count_distinct("at").alias("limit")), "limits")
-    walks, core, length = [links], None, 1
+    limits = links.groupBy("dag_id").agg(F.count_distinct("at").alias("limit"))
+    walks, core, length = [links.join(limits, "dag_id")], None, 1
+    walks[0] = materialise(walks[0], "walks")
     while True:
         length *= 2
         on = walks[-1].select("dag_id", F.col("at").alias("to"), F.col("to").alias("end"))
-        longer = walks[-1].join(on, ["dag_id", "to"]).select("dag_id", "at", F.col("end").alias("to")).distinct()
+        longer = walks[-1].join(on, ["dag_id", "to"]).select("dag_id", "at", F.col("end").alias("to"), "limit").distinct()
         longer = materialise(longer, "walks")
-        looped = longer.join(limits.where(F.col("limit") < length), "dag_id", "left_semi")
-        if not looped.isEmpty():
+        over = F.col("limit") < length
+        n, beyond = longer.agg(F.count(F.lit(1)), F.count_if(over)).first()
+        if beyond:
+            looped = longer.where(over)
             both = looped.select("dag_id", "at").intersect(looped.select("dag_id", F.col("to").alias("at")))
             both = materialise(both, "core")
             core = both if core is None else core.unionByName(both)
-            longer = longer.join(both.select("dag_id").distinct(), "dag_id", "left_anti")
-        if longer.isEmpty():
+            longer = longer.where(~over)
+        if n == beyond:
             return walks, core
         walks.append(longer)
 
@@ -131,7 +134,7 @@ def _longest(starts: DataFrame, walks: list[DataFrame]) -> DataFrame:
 
     ``here`` holds where all walks of the length found so far end.
     """
-    here, found = materialise(starts, "ends"), starts.select("dag_id", F.lit(1).cast("bigint").alias("n")).distinct()
+    here, found = starts, starts.select("dag_id", F.lit(1).cast("bigint").alias("n")).distinct()
     for k in range(len(walks) - 1, -1, -1):
         on = here.join(walks[k], ["dag_id", "at"]).select("dag_id", F.col("to").alias("at")).distinct()
         on = materialise(on, "ends")
