@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 _UNIT = 1e9
-MATRICES_HELD = 1000
 # Partial sums stay below this, well within 64 bits.
 LARGEST_SUM = 2.0**62
 
@@ -35,65 +38,125 @@ def batch_score_median(vectors: DataFrame, batch: int = 1000) -> DataFrame:
     )
 
 
-def gram_matrix(vectors: DataFrame, block: str) -> DataFrame:
+def gram_matrix(vectors: DataFrame, block: str, held_bytes: int = 256_000_000, tile_bytes: int = 32_000_000) -> DataFrame:
     """Products of every two columns, summed over the vectors of each block (upper triangle).
 
-    Each task adds up its own vectors into one small matrix per block, so what
-    is shuffled depends on the width of the vectors and not on their number.
-    Products are held as whole billionths, which makes the sums exact.
+    Each task adds up its own vectors into one matrix per block, so what is
+    shuffled depends on the width of the vectors and not on their number. Products
+    are held in two parts, whole units and billionths, which makes the sums exact;
+    those of 2**62 and more, which have no billionths, are summed as doubles. The
+    products of some rows are made for one tile of the matrix at a time, within
+    ``tile_bytes``, and a task passes its matrices on when they take ``held_bytes``.
+    Vectors must have one width and finite values; null vectors are left out.
     """
 
     def rows_of(sums: dict) -> Iterator[pd.DataFrame]:
-        for key, total in sums.items():
-            i, j = np.triu_indices(len(total))
-            yield pd.DataFrame({block: key, "i": i + 1, "j": j + 1, "units": total[i, j]})
-
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, parts in sums.items():
+            width = parts.shape[1]
+            for start in range(0, width, 256):
+                i, j = np.triu_indices(min(256, width - start), start, width)
+                i = i + start
+                yield pd.DataFrame(
+                    {block: key, "i": i + 1, "j": j + 1, "units": parts[0, i, j].astype("int64"),
+                     "billionths": parts[1, i, j].astype("int64"), "large": parts[2, i, j].view("float64")}
+                )
+
+    def add(parts: np.ndarray, x: np.ndarray) -> None:
+        width = x.shape[1]
+        edge = min(width, 128)
+        step = max(1, tile_bytes // (edge * edge * 8))
+        for start in range(0, len(x), step):
+            rows = x[start : start + step]
+            for a in range(0, width, edge):
+                for b in range(a, width, edge):
+                    tile = rows[:, a : a + edge, None] * rows[:, None, b : b + edge]
+                    large = np.abs(tile) >= LARGEST_SUM
+                    place = (slice(a, a + edge), slice(b, b + edge))
+                    if large.any():
+                        parts[2][place].view("float64")[...] += np.where(large, tile, 0.0).sum(axis=0)
+                        tile = np.where(large, 0.0, tile)
+                    whole = np.rint(tile)
+                    parts[0][place] += whole.astype("int64").sum(axis=0)
+                    parts[1][place] += np.rint((tile - whole) * _UNIT).astype("int64").sum(axis=0)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         used = 0.0
-        for part in parts:
-            for key, rows in part.groupby(block):
+        for frame in frames:
+            for key, rows in frame.groupby(block, dropna=False):
                 x = np.stack(rows["embedding"].to_numpy()).astype("float64")
-                peak = float(np.abs(x).max()) ** 2 * _UNIT
-                if not peak < LARGEST_SUM:
-                    raise ValueError("vectors are too large or not finite; scale them first")
-                # Slices keep the row-wise products within a few dozen megabytes.
-                step = int(min(512, LARGEST_SUM // max(peak, 1.0)))
+                peak = float(np.abs(x).max(initial=0.0)) ** 2
+                if not np.isfinite(peak):
+                    raise ValueError("vectors must be finite, and so must their products")
+                # Rows at a time, so that no sum of whole units leaves 64 bits.
+                step = int(max(1, min(len(x), LARGEST_SUM // max(min(peak, LARGEST_SUM), 1.0))))
                 for start in range(0, len(x), step):
                     y = x[start : start + step]
-                    used += peak * len(y)
-                    if used > LARGEST_SUM or len(sums) > MATRICES_HELD:
+                    most = min(peak, LARGEST_SUM) * len(y)
+                    used += most
+                    if used > LARGEST_SUM or (len(sums) + 1) * y.shape[1] ** 2 * 24 > max(held_bytes, y.shape[1] ** 2 * 24):
                         yield from rows_of(sums)
-                        sums, used = {}, peak * len(y)
-                    units = np.rint(y[:, :, None] * y[:, None, :] * _UNIT).astype("int64").sum(axis=0)
-                    sums[key] = sums[key] + units if key in sums else units
+                        sums, used = {}, most
+                    if key not in sums:
+                        sums[key] = np.zeros((3, y.shape[1], y.shape[1]), dtype="int64")
+                    add(sums[key], y)
         yield from rows_of(sums)
 
     kind = vectors.schema[block].dataType.simpleString()
-    cells = vectors.select(block, "embedding").mapInPandas(
-        partial, f"{block} {kind}, i int, j int, units bigint"
+    cells = vectors.where(F.col("embedding").isNotNull()).select(block, "embedding").mapInPandas(
+        partial, f"{block} {kind}, i int, j int, units bigint, billionths bigint, large double"
     )
-    total = F.sum(F.col("units").cast("decimal(28,0)"))
-    return cells.groupBy(block, "i", "j").agg((total.cast("double") / _UNIT).alias("product"))
+    units, billionths = (F.sum(F.col(c).cast("decimal(28,0)")) for c in ("units", "billionths"))
+    both = (units * F.lit(Decimal(10**9)) + billionths).cast("double") / _UNIT
+    exact = F.when(F.abs(units) < F.lit(Decimal(10**28)), both).otherwise(units.cast("double"))
+    return cells.groupBy(block, "i", "j").agg((exact + F.sum("large")).alias("product"))
 
 
-def svd_summary(vectors: DataFrame, k: int) -> DataFrame:
+def svd_summary(vectors: DataFrame, k: int, stack_bytes: int = 64_000_000) -> DataFrame:
     """The ``k`` largest singular values of the matrix whose rows are the vectors.
 
-    They are the roots of the eigenvalues of the column products, a matrix as
-    wide as one vector, which one task solves.
+    A tall matrix is cut into the tasks' rows. Each task turns its own into a
+    triangular factor as wide as one vector, then tasks stack a few factors and factor
+    them again, until one is left, whose singular values are those of the whole. No
+    product of columns is formed, so small values keep their digits. A stack takes
+    about ``stack_bytes``, two factors at least. Null vectors are left out.
     """
 
-    def solve(cells: pd.DataFrame) -> pd.DataFrame:
-        n = int(cells["j"].max())
-        a = np.zeros((n, n))
-        a[cells["i"] - 1, cells["j"] - 1] = cells["product"]
-        a[cells["j"] - 1, cells["i"] - 1] = cells["product"]
-        values = np.sqrt(np.clip(np.linalg.eigvalsh(a)[::-1][:k], 0, None))
-        return pd.DataFrame({"position": np.arange(1, len(values) + 1), "singular_value": values})
-
-    cells = gram_matrix(vectors.withColumn("_all", F.lit(0)), "_all")
-    return cells.groupBy("_all").applyInPandas(solve, "position int, singular_value double")
+    def factor(stack: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.concatenate([stack, rows]), mode="r")
+
+    def packed(number: int, stack: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"part": [number] * len(stack), "line": list(stack)})
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack = None
+        for frame in frames:
+            for start in range(0, len(frame), 4096):
+                rows = np.stack(frame["embedding"].iloc[start : start + 4096].to_numpy()).astype("float64")
+                stack = factor(np.zeros((0, rows.shape[1])) if stack is None else stack, rows)
+        if stack is not None:
+            yield packed(TaskContext.get().partitionId(), stack)
+
+    def again(number: int, lines: pd.DataFrame) -> pd.DataFrame:
+        rows = np.stack(lines["line"].to_numpy())
+        return packed(number, factor(np.zeros((0, rows.shape[1])), rows))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines = [line for frame in frames for line in frame["line"]]
+        if lines:
+            values = np.linalg.svd(np.stack(lines), compute_uv=False)[:k]
+            yield pd.DataFrame({"position": np.arange(1, len(values) + 1), "singular_value": values})
+
+    schema = "part int, line array<double>"
+    held = vectors.where(F.col("embedding").isNotNull()).select("embedding")
+    factors = materialise(held.mapInPandas(first, schema), "factors")
+    width, last = factors.agg(F.max(F.size("line")), F.max("part")).first()
+    fan = max(2, stack_bytes // max(1, 8 * (width or 1) ** 2))
+    while last:
+        stacks = factors.groupBy(F.floor(F.col("part") / fan).cast("int").alias("next"))
+        factors = materialise(stacks.applyInPandas(lambda key, lines: again(key[0], lines), schema), "factors")
+        last //= fan
+    return factors.coalesce(1).mapInPandas(solve, "position int, singular_value double")
 
 
 def series_spectrum(series: DataFrame, key: str, time: str, value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as f
@@ -228,8 +229,27 @@ def gram_matrix(t):
     return n.gram_matrix(t.embeddings, "label")
 
 
-@plan("svd_summary")
+@plan("svd_summary", """
+    with c as (select vec_id, unnest(range(1, 65)) as i, embedding from embeddings),
+    v as (select vec_id, i, cast(embedding[i] as double) as x from c),
+    g as (select sum(a.x * b.x) as p from v a join v b using (vec_id) group by a.i, b.i),
+    s as (select sum(x * x) as squares, count(distinct i) as width, count(distinct vec_id) as n from v)
+    select cast(least(width, n) as bigint) as singular_values, round(squares / n, 6) as squares,
+           round((select sum(p * p) from g) / n / n, 6) as fourth_powers, true as falling from s""")
 def svd_summary(t):
+    """What holds of all singular values together: their squares add up to the entries', their fourth powers to the products'."""
+    values = n.svd_summary(t.embeddings, 10**6)
+    v, rows = F.col("singular_value"), F.lit(t.embeddings.count())
+    falls = F.lag(v).over(Window.orderBy("position")) >= v  # one row per column of a vector
+    power = lambda e, per: F.round(F.sum(F.pow(v, F.lit(e))) / per, 6)
+    return values.withColumn("falls", falls).agg(
+        F.count(v).alias("singular_values"), power(2, rows).alias("squares"),
+        power(4, rows * rows.cast("double")).alias("fourth_powers"), F.coalesce(F.bool_and("falls"), F.lit(True)).alias("falling"),
+    )
+
+
+@plan("top_singular_values")
+def top_singular_values(t):
     return n.svd_summary(t.embeddings, 5)
 
 

@@ -1,5 +1,7 @@
 """Features, splits, metrics, models and numeric summaries, against numpy or by hand."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,13 +130,48 @@ def test_products(vectors, monkeypatch):
         assert r.product == pytest.approx(want[r.i - 1, r.j - 1], abs=1e-6)
 
 
+def test_small_singular_values_keep_their_digits(spark):
+    """Products of columns would lose a value of 1e-9 of the largest; a stack of two factors at a time must not."""
+    rng = np.random.default_rng(5)
+    left, _ = np.linalg.qr(rng.normal(size=(300, 5)))
+    right, _ = np.linalg.qr(rng.normal(size=(5, 5)))
+    want = [1.0, 1e-3, 1e-6, 1e-8, 1e-9]
+    x = left @ np.diag(want) @ right.T
+    df = spark.createDataFrame([([float(v) for v in row],) for row in x] + [(None,)], "embedding array<double>").repartition(13)
+    for stack in (64_000_000, 1):
+        got = [r.singular_value for r in n.svd_summary(df, 5, stack_bytes=stack).orderBy("position").collect()]
+        assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_singular_values_of_few_or_no_rows(spark):
+    one = spark.createDataFrame([([3.0, 4.0],)], "embedding array<double>")
+    assert [r.singular_value for r in n.svd_summary(one, 5).collect()] == pytest.approx([5.0])
+    assert n.svd_summary(one.limit(0), 5).count() == 0
+
+
 def test_products_of_large_vectors(spark):
-    df = spark.createDataFrame([(i, [3e4, 1.0], 0) for i in range(12)], "vec_id long, embedding array<double>, label int")
+    schema = "vec_id long, embedding array<double>, label int"
+    df = spark.createDataFrame([(i, [3e4, 1.0], 0) for i in range(12)], schema)
     got = {(r.i, r.j): r.product for r in n.gram_matrix(df.coalesce(1), "label").collect()}
     assert got == {(1, 1): 12 * 9e8, (1, 2): 12 * 3e4, (2, 2): 12.0}
-    huge = spark.createDataFrame([(1, [1e9], 0)], "vec_id long, embedding array<double>, label int")
-    with pytest.raises(Exception, match="scale them first"):
-        n.gram_matrix(huge, "label").collect()
+    rows = [(i, [1e6 + i, 1e9, 0.1 * i, 1e12], i % 2) for i in range(40)] + [(99, None, 0)]
+    for held in (256_000_000, 1):
+        for r in n.gram_matrix(spark.createDataFrame(rows, schema).repartition(3), "label", held_bytes=held).collect():
+            own = [v for _, v, label in rows if label == r.label and v]
+            assert r.product == pytest.approx(math.fsum(v[r.i - 1] * v[r.j - 1] for v in own), rel=1e-14)
+    endless = spark.createDataFrame([(1, [float("inf")], 0)], schema)
+    with pytest.raises(Exception, match="must be finite"):
+        n.gram_matrix(endless, "label").collect()
+
+
+def test_products_of_wide_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(60, 300)), 6)
+    df = spark.createDataFrame([(i, [float(v) for v in row], None) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = n.gram_matrix(df, "label", tile_bytes=200_000).toPandas()
+    assert len(got) == 300 * 301 // 2 and got["label"].isna().all()
+    want = x.T @ x
+    assert np.abs(got["product"].to_numpy() - want[got["i"] - 1, got["j"] - 1]).max() < 1e-7
 
 
 def test_spectrum(spark):
