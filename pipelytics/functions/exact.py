@@ -18,11 +18,9 @@ def money_sum(col: str | Column) -> Column:
 #: Bands of magnitude: terms from ``low`` up to below ``high`` are held as whole multiples of 1e-9 / ``factor``.
 #: Scaled terms stay below 1e20, which leaves room for a billion of the largest ones.
 BANDS = (
-    (0.0, 1e-27, 1e45),
-    (1e-27, 1e-9, 1e27),
+    (5e-324, 1e-9, 1e27),
     (1e-9, 1e20, 1.0),
     (1e20, 1e40, 1e-20),
-    (1e40, 1e60, 1e-40),
 )
 
 
@@ -32,21 +30,23 @@ def fine_sum(col: str | Column) -> Column:
     Terms are held as decimals and added as whole numbers, each in the band of its
     magnitude; the bands' sums are added at the end, from the smallest up. Ordinary
     terms are held to nine decimals; those below 1e-9 keep nine digits and more down
-    to 1e-45. Only with terms of 1e60 and more, infinite ones, not-a-numbers, or a
-    band that overflows is the sum the plain sum of doubles.
+    to 1e-27. Only with terms of 1e40 and more, infinite ones, not-a-numbers, or a
+    band that overflows is the sum the plain sum of doubles. More bands would cover
+    more magnitudes, at the cost of every aggregate that sums ordinary terms.
     """
     raw = F.col(col) if isinstance(col, str) else col
     c = raw.cast("double")
     size = F.abs(c)
-    total, lost = F.lit(0.0), F.coalesce(F.bool_or((size >= BANDS[-1][1]) | F.isnan(c)), F.lit(False))
+    none = F.lit(0).cast(FINE)
+    total, lost = F.lit(0.0), F.max(size) >= BANDS[-1][1]  # a not-a-number is larger than any number
     for low, high, factor in BANDS:
-        inside = (size < high) & ((size >= low) | (F.lit(low == 1e-9) & (size == 0)))
-        inside = inside & (size > 0) if low == 0 else inside
-        term = F.when(inside, (raw if factor == 1.0 else c * F.lit(factor)).try_cast(FINE))
-        added = F.try_sum(term)
-        total = total + F.coalesce(added.cast("double"), F.lit(0.0)) / F.lit(factor)
-        lost = lost | (added.isNull() & (F.count(term) > 0))
-    return F.when(F.count(c) > 0, F.when(lost, F.sum(c)).otherwise(total))
+        inside = (size >= low) & (size < high)
+        inside = inside | (size == 0) if low == 1e-9 else inside
+        # Terms of other bands count as 0, so only an overflow makes a sum null.
+        added = F.try_sum(F.when(inside, (raw if factor == 1.0 else c * F.lit(factor)).try_cast(FINE)).otherwise(none))
+        total = total + added.cast("double") / F.lit(factor)
+        lost = lost | added.isNull()
+    return F.when(F.max(size).isNotNull(), F.when(lost, F.sum(c)).otherwise(total))
 
 
 def fine_mean(col: str | Column) -> Column:
