@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as f
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..streaming import jobs as j
-from ..streaming.runner import StreamTables, open_stream, run_append, run_complete
+from ..streaming.runner import StreamTables, open_stream, run_append, run_complete, run_updates
 from .commerce import _metrics
 from .registry import plan
 from .runs import CLASSIFIED, FIX_COLUMNS, flat_plan
@@ -26,7 +26,7 @@ _WINDOW_COLUMNS = """event_type, count(*) as events,
            date_trunc('hour', ts)::timestamp + interval 1 hour as window_end, {_WINDOW_COLUMNS}
     from events group by 1, 2, event_type""")
 def stream_tumbling(t):
-    return run_complete(j.stream_tumbling(_live(t).events, "1 hour", "2 hours"), "tumbling")
+    return run_updates(j.stream_tumbling(_live(t).events, "1 hour", "2 hours"), j.WINDOW_KEYS, "tumbling")
 
 
 @plan("stream_sliding", f"""
@@ -36,7 +36,7 @@ def stream_tumbling(t):
            {_WINDOW_COLUMNS}
     from s group by 1, 2, event_type""")
 def stream_sliding(t):
-    return run_complete(j.stream_sliding(_live(t).events, "2 hours", "1 hour", "2 hours"), "sliding")
+    return run_updates(j.stream_sliding(_live(t).events, "2 hours", "1 hour", "2 hours"), j.WINDOW_KEYS, "sliding")
 
 
 @plan("stream_dedupe", "select event_id, ts, user_id, event_type, value from events")
@@ -93,7 +93,9 @@ _FEATURES = """
           from events join f using (user_id))
     select * from s where score > 0.8::double""")
 def stream_fraud_alerts(t):
-    return run_append(j.stream_fraud_alerts(_live(t).events, f.fraud_features(t.events)), "fraud")
+    # Written once: every micro-batch joins the finished table, not its aggregation.
+    features = materialise(f.fraud_features(t.events).select("user_id", "mean", "error_share"), "features")
+    return run_append(j.stream_fraud_alerts(_live(t).events, features), "fraud")
 
 
 @plan("stream_sensor_anomalies", f"""with {_FEATURES},
@@ -101,7 +103,7 @@ def stream_fraud_alerts(t):
           from events join f using (user_id))
     select *, case when zscore > 5 then 'maintenance' else 'watch' end as action from s where zscore > 2.5""")
 def stream_sensor_anomalies(t):
-    baseline = j.sensor_baseline(t.events)
+    baseline = materialise(j.sensor_baseline(t.events), "baseline")
     return run_append(j.stream_sensor_anomalies(_live(t).events, baseline, 2.5), "sensors")
 
 

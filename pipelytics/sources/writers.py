@@ -73,7 +73,8 @@ def upsert_customer_metrics(
 
     Every call writes a new version folder, never the one being read. A
     version given by the caller (a micro-batch number) makes a repeat of the
-    same call rewrite the same version from the same predecessor.
+    same call rewrite the same version from the same predecessor. If that
+    is gone, the complete version, which holds the call's result, stays as it is.
     """
     spark = updates.sparkSession
     complete = _versions(spark, path)
@@ -82,6 +83,8 @@ def upsert_customer_metrics(
     if not complete and set(_versions(spark, path, committed=False)) - {version}:
         raise ValueError(f"{path} holds versions, but none is marked as complete")
     current = read_latest(spark, path, before=version)
+    if current is None and version in complete:
+        return spark.read.parquet(f"{path}/version={version}")
     merged = updates if current is None else merge(current, updates, keys)
     merged.write.mode("overwrite").parquet(f"{path}/version={version}")
     _commit(spark, f"{path}/version={version}")

@@ -16,6 +16,10 @@ from ..sources.writers import fold_metrics, read_latest, upsert_customer_metrics
 from .runner import open_stream, run_batches, with_event_time
 
 
+#: What tells the rows of windowed metrics apart.
+WINDOW_KEYS = ("window_start", "window_end", "event_type")
+
+
 def _windowed(stream: DataFrame, window) -> DataFrame:
     return (
         stream.groupBy(window.alias("_w"), "event_type")
@@ -214,9 +218,12 @@ def stream_upsert_metrics(
     stored ones: where batches are cut does not show.
 
     The batch number is the version, so a repeated batch rewrites its own result.
+    Before anything has arrived the table is empty.
     """
+
     def merge(batch: DataFrame, number: int) -> None:
         upsert_customer_metrics(target, metrics(batch), keys, number, fold_metrics)
 
     run_batches(stream, "upsert", "append", merge, checkpoint)
-    return read_latest(stream.sparkSession, target)
+    stored = read_latest(stream.sparkSession, target)
+    return metrics(stream.sparkSession.createDataFrame([], stream.schema)) if stored is None else stored

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +76,10 @@ def run_batches(
 
 
 def run_complete(df: DataFrame, name: str) -> DataFrame:
-    """Run an aggregation to the end of the input and return its final table.
+    """Run an aggregation to the end of the input and return its final table; without any input, an empty one.
 
-    Every micro-batch rewrites its own folder, so a repeated batch does no harm.
+    Every micro-batch rewrites its own folder, so a repeated batch does no harm. The
+    whole table is written each time: for a few groups only, see ``run_updates``.
     """
     spark = df.sparkSession
     out = scratch_path(spark, name)
@@ -89,4 +90,34 @@ def run_complete(df: DataFrame, name: str) -> DataFrame:
         seen.append(number)
 
     run_batches(df, name, "complete", keep)
+    if not seen:
+        return spark.createDataFrame([], df.schema)
     return spark.read.schema(df.schema).parquet(f"{out}/batch={max(seen)}")
+
+
+def run_updates(
+    df: DataFrame, keys: Sequence[str], name: str, checkpoint: str | None = None, out: str | None = None
+) -> DataFrame:
+    """Run a windowed aggregation to the end of the input and return the newest version of each of its rows.
+
+    A micro-batch writes the rows that it has changed, as their next version, into a
+    folder of its own, which a repeated batch rewrites. Spark drops the state of
+    windows that the watermark has passed; windows still open at the end are in the
+    result as they stand. A query that resumes from a checkpoint must keep writing to
+    the same folder. Without any input the result is empty.
+    """
+    spark = df.sparkSession
+    out = out or scratch_path(spark, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run_batches(df, name, "update", keep, checkpoint)
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    versions = spark.read.schema(f"{_ddl(df)}, batch bigint").parquet(out)
+    newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch").alias("row"))
+    return newest.select("row.*")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

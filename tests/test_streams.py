@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pipelytics.session import scratch_path
 from pipelytics.sources.writers import read_latest
 from pipelytics.streaming import jobs as j
-from pipelytics.streaming.runner import open_stream, run_append
+from pipelytics.streaming.runner import open_stream, run_append, run_complete, run_updates
 
 T0 = datetime(2024, 1, 1)
 CALLS = "attempt_id long, task string, start_ts timestamp_ntz, state string"
@@ -101,3 +101,60 @@ def test_dedupe_across_batches(spark):
         stream = open_stream(spark, f"{inbox}/n=*", spark.createDataFrame([], schema).schema)
         got = run_append(j.stream_dedupe(stream, ["event_id"], "1 hour"), "dup", state, out)
     assert sorted(r.event_id for r in got.collect()) == [1, 2, 3]
+
+
+EVENTS = "event_id int, ts timestamp_ntz, event_type string, value double"
+
+
+@pytest.mark.parametrize("sliding", [False, True])
+def test_windows_over_several_batches(spark, sliding):
+    """Versions add up over batches, open windows are there at the end, closed ones take no late rows."""
+    inbox, state, out = (scratch_path(spark, f"win-{x}") for x in ("in", "state", "out"))
+    empty = spark.createDataFrame([], EVENTS)
+    at = lambda m: T0 + timedelta(minutes=m)
+    chunks = [[(1, at(5), "a", 1.0), (2, at(50), "a", 2.0)], [(3, at(55), "a", 4.0), (4, at(400), "b", 8.0)], [(5, at(10), "a", 16.0), (6, at(410), "b", 32.0)]]
+    for n, rows in enumerate(chunks):
+        spark.createDataFrame(rows, EVENTS).write.parquet(f"{inbox}/n={n}")
+        stream = open_stream(spark, f"{inbox}/n=*", empty.schema)
+        windows = j.stream_sliding(stream, "2 hours", "1 hour", "2 hours") if sliding else j.stream_tumbling(stream, "1 hour", "2 hours")
+        got = run_updates(windows, j.WINDOW_KEYS, "win", state, out)
+    found = sorted((r.window_start, r.event_type, r.events, r.total, r.largest) for r in got.collect())
+    # The row at minute 10 comes after the watermark has passed 280 minutes.
+    first, last = [(at(0), "a", 3, 7.0, 4.0)], [(at(360), "b", 2, 40.0, 32.0)]
+    if sliding:
+        first, last = [(at(-60), "a", 3, 7.0, 4.0), *first], [(at(300), "b", 2, 40.0, 32.0), *last]
+    assert found == first + last
+
+
+def test_repeated_batch_of_windows(spark):
+    inbox, out = scratch_path(spark, "again-in"), scratch_path(spark, "again-out")
+    spark.createDataFrame([(1, T0, "a", 1.0), (2, T0, "a", 2.0)], EVENTS).write.parquet(f"{inbox}/n=0")
+    for _ in range(2):  # a new checkpoint each time, so the same batch is written again
+        stream = open_stream(spark, f"{inbox}/n=*", spark.createDataFrame([], EVENTS).schema)
+        got = run_updates(j.stream_tumbling(stream, "1 hour", "2 hours"), j.WINDOW_KEYS, "again", None, out)
+    assert [(r.events, r.total) for r in got.collect()] == [(2, 3.0)]
+
+
+def test_streams_without_input(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    events = open_stream(spark, str(tmp_path / "none"), spark.createDataFrame([], EVENTS).schema)
+    assert run_updates(j.stream_tumbling(events, "1 hour", "2 hours"), j.WINDOW_KEYS, "none").count() == 0
+    requests = open_stream(spark, str(tmp_path / "none"), spark.createDataFrame([], "model string, latency_ms double, success boolean").schema)
+    empty = run_complete(j.stream_model_metrics(requests), "none")
+    assert empty.count() == 0 and empty.columns == ["model", "requests", "avg_latency_ms", "success_rate"]
+    orders = open_stream(spark, str(tmp_path / "none"), spark.createDataFrame([], "customer_id int, x double").schema)
+    sums = lambda df: df.groupBy("customer_id").agg(F.sum("x").alias("lifetime_value"))
+    got = j.stream_upsert_metrics(orders, scratch_path(spark, "none"), sums, ["customer_id"])
+    assert got.count() == 0 and got.columns == ["customer_id", "lifetime_value"]
+
+
+def test_repeated_batch_without_predecessor(spark):
+    from pipelytics.sources.writers import drop_versions, upsert_customer_metrics
+
+    path = scratch_path(spark, "kept")
+    frame = lambda *r: spark.createDataFrame(list(r), "customer_id int, total double")
+    for version in range(3):
+        upsert_customer_metrics(path, frame((version, 1.0)), ["customer_id"], version=version)
+    assert drop_versions(spark, path, keep=1) == [0, 1]
+    upsert_customer_metrics(path, frame((2, 1.0)), ["customer_id"], version=2)
+    assert sorted(r.customer_id for r in read_latest(spark, path).collect()) == [0, 1, 2]
