@@ -159,11 +159,12 @@ def svd_summary(vectors: DataFrame, k: int, stack_bytes: int = 64_000_000) -> Da
     return factors.coalesce(1).mapInPandas(solve, "position int, singular_value double")
 
 
-def series_spectrum(series: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def series_spectrum(series: DataFrame, key: str, time: str, value: str, longest: int = 1 << 20) -> DataFrame:
     """Mean, deviation, maximum and minimum of the FFT magnitudes of each key's series.
 
-    The series has one point per time step, so its length is bounded by the
-    calendar and not by the number of events; steps without a point count as 0.
+    The series has one point per time step between the first and the last of its
+    key; steps without a point count as 0. Series of up to ``longest`` steps are
+    transformed by one task each, longer ones in blocks by many, to the same figures.
     """
 
     def spectrum(points: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +180,105 @@ def series_spectrum(series: DataFrame, key: str, time: str, value: str) -> DataF
         )
 
     kind = series.schema[key].dataType.simpleString()
-    steps = series.groupBy(key, time).agg(F.sum(value).alias(value))
-    return steps.groupBy(key).applyInPandas(
-        spectrum, f"{key} {kind}, points bigint, mean double, std double, max double, min double"
+    schema = f"{key} {kind}, points bigint, mean double, std double, max double, min double"
+    steps = materialise(series.groupBy(key, time).agg(F.sum(value).alias(value)), "steps")
+    spans = steps.groupBy(F.col(key).alias("_key")).agg(F.min(time).alias("_low"), F.max(time).alias("_high"))
+    wide = materialise(spans.where(F.col("_high") - F.col("_low") >= longest), "long-series")
+    if wide.isEmpty():
+        return steps.groupBy(key).applyInPandas(spectrum, schema)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    short = steps.join(wide, same, "left_anti").groupBy(key).applyInPandas(spectrum, schema)
+    points = steps.join(wide, same).select(
+        F.col("_key").alias("key"), (F.col("_high") - F.col("_low") + 1).cast("bigint").alias("points"),
+        (F.col(time) - F.col("_low")).cast("bigint").alias("at"), F.col(value).cast("double").alias("re"),
     )
+    sizes = _long_magnitudes(points).groupBy("key", "points").agg(
+        F.avg("size").alias("mean"), F.stddev_pop("size").alias("std"), F.max("size").alias("max"), F.min("size").alias("min")
+    )
+    return short.unionByName(sizes.withColumnRenamed("key", key))
+
+
+def _shape(points: int) -> tuple[int, int]:
+    """Rows and columns, powers of two, of the grid on which a series of so many points is transformed."""
+    bits = max(2, int(2 * points - 1).bit_length())
+    return 1 << (bits // 2), 1 << (bits - bits // 2)
+
+
+def _turn(part: np.ndarray, whole: int) -> np.ndarray:
+    """exp(-2 pi i part / whole) for whole numbers, reduced before they lose digits."""
+    return np.exp(-2j * np.pi * ((part % whole) / whole))
+
+
+def _long_magnitudes(series: DataFrame) -> DataFrame:
+    """``key, points, size``: FFT magnitudes of series (``key, points, at, re``) too long for one task.
+
+    A transform of any length is a convolution with a chirp, whose transforms
+    have a length that is a power of two. Such a transform is done on a grid: FFTs of
+    the columns, a turn of each cell, FFTs of the rows. Each column and each row is a
+    group of its own, of about the square root of the length. The chirp is not
+    data: each column makes its own part of it.
+    """
+    kind = series.schema["key"].dataType.simpleString()
+    grid = F.udf(lambda n: _shape(n)[1], "bigint")  # once per series
+    cells = f"key {kind}, points bigint, row bigint, col bigint"
+    width = series.select("key", "points").distinct().withColumn("width", grid("points"))
+    width = materialise(width, "grids")
+    same = F.col("key").eqNullSafe(F.col("_k"))
+    shapes = width.select(F.col("key").alias("_k"), "width")
+    placed = series.join(shapes, same).select(
+        "key", "points", F.floor(F.col("at") / F.col("width")).alias("row"), (F.col("at") % F.col("width")).alias("col"), "re"
+    )
+    # Every column takes part, also one without points.
+    empty = width.select(
+        "key", "points", F.lit(-1).cast("bigint").alias("row"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("width") - 1)).alias("col"),
+        F.lit(0.0).alias("re"),
+    )
+
+    def frame(group: pd.DataFrame, **columns) -> pd.DataFrame:
+        rows = len(next(iter(columns.values())))
+        return pd.DataFrame({"key": [group["key"].iloc[0]] * rows, "points": [group["points"].iloc[0]] * rows} | columns)
+
+    def both_columns(group: pd.DataFrame) -> pd.DataFrame:
+        n, col = int(group["points"].iloc[0]), int(group["col"].iloc[0])
+        rows, columns = _shape(n)
+        held = group[group["row"] >= 0]
+        at = held["row"].to_numpy() * columns + col
+        data = np.zeros(rows, dtype=complex)
+        data[held["row"]] = held["re"] * _turn(at * at, 2 * n)
+        place = np.arange(rows) * columns + col
+        back = rows * columns - place
+        chirp = np.where(place < n, _turn(place * place, 2 * n), np.where(back < n, _turn(back * back, 2 * n), 0)).conj()
+        turn = _turn(np.arange(rows) * col, rows * columns)
+        a, b = np.fft.fft(data) * turn, np.fft.fft(chirp) * turn
+        return frame(group, row=np.arange(rows), col=np.full(rows, col), ar=a.real, ai=a.imag, br=b.real, bi=b.imag)
+
+    def both_rows(group: pd.DataFrame) -> pd.DataFrame:
+        rows, columns = _shape(int(group["points"].iloc[0]))
+        group = group.sort_values("col")
+        a = np.fft.fft(group["ar"].to_numpy() + 1j * group["ai"].to_numpy())
+        b = np.fft.fft(group["br"].to_numpy() + 1j * group["bi"].to_numpy())
+        # The inverse transform is the transform of the conjugate.
+        product = (a * b).conj()
+        at = int(group["row"].iloc[0]) + rows * np.arange(columns)
+        return frame(group, row=at // columns, col=at % columns, ar=product.real, ai=product.imag)
+
+    def one_column(group: pd.DataFrame) -> pd.DataFrame:
+        rows, columns = _shape(int(group["points"].iloc[0]))
+        group = group.sort_values("row")
+        col = int(group["col"].iloc[0])
+        found = np.fft.fft(group["ar"].to_numpy() + 1j * group["ai"].to_numpy()) * _turn(np.arange(rows) * col, rows * columns)
+        return frame(group, row=np.arange(rows), col=np.full(rows, col), ar=found.real, ai=found.imag)
+
+    def one_row(group: pd.DataFrame) -> pd.DataFrame:
+        n = int(group["points"].iloc[0])
+        rows, columns = _shape(n)
+        group = group.sort_values("col")
+        found = np.fft.fft(group["ar"].to_numpy() + 1j * group["ai"].to_numpy()) / (rows * columns)
+        at = int(group["row"].iloc[0]) + rows * np.arange(columns)
+        return frame(group, size=np.abs(found[at < n]))
+
+    two, one = f"{cells}, ar double, ai double, br double, bi double", f"{cells}, ar double, ai double"
+    first = placed.unionByName(empty).groupBy("key", "points", "col").applyInPandas(both_columns, two)
+    second = first.groupBy("key", "points", "row").applyInPandas(both_rows, one)
+    third = second.groupBy("key", "points", "col").applyInPandas(one_column, one)
+    return third.groupBy("key", "points", "row").applyInPandas(one_row, f"key {kind}, points bigint, size double")

@@ -183,6 +183,22 @@ def test_spectrum(spark):
     assert (got.mean, got.std) == (pytest.approx(size.mean()), pytest.approx(size.std()))
 
 
+def test_long_series_in_blocks(spark):
+    """Lengths that are prime, powers of two and odd; gaps; a null key; short keys beside long ones."""
+    rng = np.random.default_rng(8)
+    data = []
+    for name, low, length in (("prime", -7, 97), ("power", 100, 128), (None, 5, 75), ("short", 3, 9), ("long", 0, 5000)):
+        held = np.unique(np.concatenate([[0, length - 1], rng.integers(0, length, length // 2)]))
+        data += [(name, int(low + t), float(rng.normal() * 10)) for t in held]
+    df = spark.createDataFrame(data, "k string, t long, v double").repartition(3)
+    whole = {r.k: r for r in n.series_spectrum(df, "k", "t", "v").collect()}
+    blocks = {r.k: r for r in n.series_spectrum(df, "k", "t", "v", longest=64).collect()}
+    assert whole.keys() == blocks.keys() and len(whole) == 5
+    for k, r in whole.items():
+        for c in ("points", "mean", "std", "max", "min"):
+            assert blocks[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9), (k, c)
+
+
 def test_planted_outliers_score_highest(spark):
     rng = np.random.default_rng(3)
     # Fewer rows than a sample holds, so every tree sees the outliers.
