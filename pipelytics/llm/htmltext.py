@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from hashlib import blake2b
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +94,20 @@ def parse(source: str) -> Node:
     """The tree of a page. Anything is accepted; missing end tags are supplied as browsers would for common cases."""
     root = Node("", {})
     stack = [root]
+    # Where the open elements of a name stand in the stack, and where those that are not inline do:
+    # a tag then costs what it closes, however many elements are open.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
+
+    def close(length: int) -> None:
+        while len(stack) > length:
+            places[stack.pop().tag].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
+
     at, end = 0, len(source)
     lowered = None
     while at < end:
@@ -107,32 +123,25 @@ def parse(source: str) -> Node:
             continue
         name = name.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-                # An inline element's end tag does not reach beyond the block that it stands in.
-                if name in INLINE and stack[k].tag not in INLINE:
-                    break
+            opened = last([name])
+            # An inline element's end tag does not reach beyond the block that it stands in.
+            if opened and not (name in INLINE and blocks and blocks[-1] > opened):
+                close(opened)
             continue
-        if name not in INLINE:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+        if name not in INLINE and blocks and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if name in CLOSES:
             closed, border = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in border:
-                    break
-                if stack[k].tag in closed:
-                    del stack[k:]
-                    if name != "tr":
-                        break
+            edge = last(border)
+            if name == "tr":  # all rows and cells of the table
+                beyond = [bisect_right(places[n], edge) for n in closed]
+                firsts = [places[n][k] for n, k in zip(closed, beyond, strict=True) if k < len(places[n])]
+                if firsts:
+                    close(min(firsts))
+            elif (opened := last(closed)) > edge:
+                close(opened)
         if name == "body" and stack[-1].tag == "head":
-            stack.pop()
+            close(len(stack) - 1)
         node = Node(name, _attributes(raw))
         stack[-1].children.append(node)
         if name in VOID or raw.endswith("/") and name in ("svg", "path"):
@@ -141,12 +150,15 @@ def parse(source: str) -> Node:
             lowered = lowered or source.lower()
             if len(lowered) != end:  # a letter whose lower case is longer: look without it
                 lowered = re.sub(r"[A-Z]", lambda m: m[0].lower(), source)
-            close = lowered.find(f"</{name}", at)
-            at = end if close < 0 else close
-            if close >= 0:
-                finish = source.find(">", close)
+            tail = lowered.find(f"</{name}", at)
+            at = end if tail < 0 else tail
+            if tail >= 0:
+                finish = source.find(">", tail)
                 at = end if finish < 0 else finish + 1
             continue
+        places[name].append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
         stack.append(node)
     return root
 
@@ -300,7 +312,7 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _read(pages: DataFrame, url: str, source: str, text: str) -> DataFrame:
+def _read(pages: DataFrame, source: str, text: str) -> DataFrame:
     """The pages without their source, but with the text that is left before templates go, and their subtrees."""
 
     def build():
@@ -311,8 +323,7 @@ def _read(pages: DataFrame, url: str, source: str, text: str) -> DataFrame:
 
         return run
 
-    keyed = pages.withColumn("_page", F.xxhash64(F.col(url), F.col(source))).withColumn("_host", host(F.col(url)))
-    return materialise(add_columns(keyed, [source], [(text, "string"), ("_marks", "array<string>")], build).drop(source), "subtrees")
+    return materialise(add_columns(pages, [source], [(text, "string"), ("_marks", "array<string>")], build).drop(source), "subtrees")
 
 
 def templates(read: DataFrame, text: str, min_pages: int, min_share: float, line_pages: int) -> DataFrame:
@@ -353,14 +364,19 @@ def extract(
 
     White space within a block is one space. Null and empty pages have empty
     text. A null address counts as a host of its own. A column of ``pages``
-    named like the text is replaced. Each page is read once; only those with
-    template that nothing else removes are read again.
+    named like the text is replaced; all others stay, whatever their names. Each
+    page is read once; only those with template that nothing else removes are
+    read again.
     """
-    pages = pages.drop(text)
-    read = _read(pages, url, source, text)
-    cut = templates(read, text, min_pages, min_share, line_pages)
-    held = [c for c in read.columns if c not in ("_page", "_host", "_marks")]
-    done = read.join(cut.select("_page"), "_page", "left_anti").select(*held)
+    held = [c for c in pages.columns if c not in (text, source)]
+    # The caller's columns travel in a struct, so that none can clash with a helper column.
+    keyed = pages.select(
+        F.struct(*(F.col(f"`{c}`") for c in held)).alias("_row"), F.col(source).alias("_source"),
+        F.xxhash64(F.col(url), F.col(source)).alias("_page"), host(F.col(url)).alias("_host"),
+    )
+    read = _read(keyed, "_source", "_text")
+    cut = templates(read, "_text", min_pages, min_share, line_pages)
+    done = read.join(cut.select("_page"), "_page", "left_anti").select("_row", "_text")
 
     def build():
         def run(sources, cuts):
@@ -369,7 +385,6 @@ def extract(
 
         return run
 
-    again = pages.withColumn("_page", F.xxhash64(F.col(url), F.col(source))).join(cut, "_page").drop("_page")
-    again = again.withColumn("_cuts", F.array_join("_cut", ",")).drop("_cut")
-
-    return done.unionByName(add_columns(again, [source, "_cuts"], [(text, "string")], build).select(*held))
+    again = keyed.join(cut, "_page").select("_row", "_source", F.array_join("_cut", ",").alias("_cuts"))
+    found = done.unionByName(add_columns(again, ["_source", "_cuts"], [("_text", "string")], build).select("_row", "_text"))
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in held), F.col("_text").alias(text))
