@@ -39,8 +39,9 @@ def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
 def op4_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = hostrules.judge(documents(spark, folder))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate",
+        "host_verdict", "kept",
+    )
 
 
 def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,6 +160,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Twins in DuckDB SQL, where SQL can express the operator.
 ORACLES: dict[str, str] = {
+    "op4_host_quality": r"""
+        with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text,
+                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        u as (select r, unnest(ws) as word, generate_subscripts(ws, 1) as p, len(ws) as n from d),
+        g as (select r, p, n, concat_ws(' ', word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o,
+                                        lead(word, 4) over o) as run from u window o as (partition by r order by p)),
+        c as (select r, p, count(*) over (partition by r, run) as times from g where p + 4 <= n),
+        e as (select r, count(distinct q) as n_repeat_words
+              from (select r, unnest(range(p, p + 5)) as q from c where times > 1) group by r),
+        l as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+        m as (select doc_id, source, cast(len(ws) as bigint) as n_words,
+                     cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
+                     cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+                     len(ls) as n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+                     cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words from l left join e using (r)),
+        b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+                     10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines as soft_failed from m),
+        h as (select source, cast(count(*) as double) as n,
+                     cast(count(*) filter (where base_failed or soft_failed) as double) as f from b group by source),
+        s as (select cast(count(*) as double) as hosts, sum(n) as total, sum(f) / sum(n) as mean, sum(f * f / n) as squares,
+                     sum(n * n) as square_rows from h),
+        v as (select mean, mean * (1 - mean) as noise, squares - total * mean * mean - mean * (1 - mean) * (hosts - 1) as beyond,
+                     mean * (1 - mean) * (total - square_rows / total - hosts + 1) as room from s),
+        k as (select mean, case when noise <= 0 or room <= 0 or beyond * 1e6 <= room then 1e6
+                                else greatest(room / beyond - 1, 1.0) end as weight from v),
+        z as (select source, mean, weight, (f + mean * weight) / (n + weight) as rate, n + weight as total from h, k),
+        j as (select source, rate, case
+                  when rate - 1.6448536269514722 * sqrt(rate * (1 - rate) / (total + 1))
+                       > greatest(0.5, mean + 1.0 * sqrt(mean * (1 - mean) / (weight + 1))) then 'rejected'
+                  when rate + 1.6448536269514722 * sqrt(rate * (1 - rate) / (total + 1)) < mean then 'trusted'
+                  else 'watched' end as host_verdict from z)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) as host_rate,
+               host_verdict, not base_failed and host_verdict <> 'rejected' and (not soft_failed or host_verdict = 'trusted') as kept
+        from b join j on b.source is not distinct from j.source""",
     "op11_ranked_search": r"""
         with d as (select doc_id, regexp_extract_all(
                        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

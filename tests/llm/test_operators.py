@@ -1,6 +1,7 @@
 """The text operators against brute force, exact round trips and held-out labels."""
 
 import base64
+import time
 import zlib
 from hashlib import sha256
 
@@ -129,6 +130,65 @@ def test_repeated_words_by_definition():
     assert hostrules.measure("a b\n\na b\n \nc|d") == (5, 7, 1, 3, 1, 0)
 
 
+def test_hosts_are_judged_by_their_posterior(spark):
+    good, soft = "one two three four five six seven eight nine ten eleven", "# # # # a b c d e f g h"
+    bad = "a b c d e " * 4
+    #: host: documents that pass, fail a soft rule, fail a base rule
+    planted = {"good": (990, 10, 0), "bad": (20, 180, 200), "tiny_bad": (0, 1, 1), "tiny_good": (2, 0, 0), None: (160, 30, 10)}
+    planted |= {f"plain{k}": (160 + k, 30, 10) for k in range(12)}
+    rows, n = [], 0
+    for name, counts in planted.items():
+        for text, count in zip((good, soft, bad), counts, strict=True):
+            rows += [(n + i, name, text) for i in range(count)]
+            n += count
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    judged = {r.doc_id: r for r in hostrules.judge(df).collect()}
+
+    sizes = {h: (sum(c), c[1] + c[2]) for h, c in planted.items()}
+    total, mean = n, sum(f for _, f in sizes.values()) / n
+    noise = mean * (1 - mean)
+    found = sum(s * (f / s - mean) ** 2 for s, f in sizes.values())
+    rho = (found / noise - (len(sizes) - 1)) / sum((1 - s / total) * (s - 1) for s, _ in sizes.values())
+    weight = 1 / rho - 1
+    assert 1 < weight < 100
+    verdicts = {}
+    for h, (s, f) in sizes.items():
+        a, b = f + mean * weight, s - f + (1 - mean) * weight
+        rate, sd = a / (a + b), (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
+        bar = max(0.5, mean + 1 * (noise / (weight + 1)) ** 0.5)
+        verdicts[h] = "rejected" if rate - 1.6449 * sd > bar else "trusted" if rate + 1.6449 * sd < mean else "watched"
+        assert {round(judged[i].host_rate, 5) for i, host, _ in rows if host == h} == {round(rate, 5)}
+    assert (verdicts["good"], verdicts["bad"], verdicts["tiny_bad"], verdicts["tiny_good"]) == ("trusted", "rejected", "watched", "watched")
+    for i, host, text in rows:
+        assert judged[i].host_verdict == verdicts[host]
+        assert judged[i].kept == (verdicts[host] != "rejected" and (text == good or text == soft and verdicts[host] == "trusted"))
+
+
+def test_alike_hosts_are_watched(spark):
+    rows = [(i, f"h{i % 20}", "# # # # a b c d e f g h" if (i // 20) % 5 == 0 else "a b c d e f g h i j k") for i in range(2000)]
+    judged = hostrules.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {(r.host_rate, r.host_verdict) for r in judged} == {(0.2, "watched")}
+    assert sum(r.kept for r in judged) == 1600
+
+
+def test_html_parser_takes_broken_pages():
+    for text in ("<b>" * 100_000 + "</i>" * 100_000, "<div>" * 50_000 + "</p>" * 100_000, "<table>" + "<b>" * 50_000 + "<tr><td>" * 50_000):
+        begin = time.perf_counter()
+        htmltext.parse(text)
+        assert time.perf_counter() - begin < 30
+    page = htmltext.Page("<table><tr><td>a<b>b<tr><td>c</table><p>d<i>e</p>f<div>g</i>h</div>")
+    assert page.blocks() == ["ab", "c", "de", "f", "gh"]
+
+
+def test_html_keeps_columns_of_any_name(spark):
+    names = ["page_id", "url", "_page", "_host", "_marks", "_cut", "_cuts", "_row", "_text", "text"]
+    rows = [(i, f"https://h.org/{i}", *"abcdefgh", f"<div><span>Shared box</span></div><p>Text {i}</p>") for i in range(6)]
+    df = spark.createDataFrame(rows, [*names, "html"])
+    found = htmltext.extract(df)
+    assert found.columns == names
+    assert sorted(map(tuple, found.collect())) == [(*r[:-2], f"Text {r[0]}") for r in rows]
+
+
 def test_personal_data_and_skip_links(spark):
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     field = pii.train(docs)
