@@ -146,7 +146,7 @@ def stream_model_metrics(t):
 def stream_circuit_breaker(t):
     live = StreamTables(t.spark, t.folder, 512 << 20)
     runs = live.task_runs_v.withColumn("task", F.concat_ws("/", "dag_id", "task_id"))
-    return run_append(j.stream_circuit_breaker(runs, "task", 2, 6 * 3600.0), "breaker")
+    return j.stream_circuit_breaker(runs, "task", 2, 6 * 3600.0)
 
 
 @plan("stream_upsert_metrics", """

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.exact import fine_mean, fine_sum, moment_like, share
+from ..operators.breaker import CHANGES, fold_calls
 from ..operators.recovery import fix_plan
 from ..session import scratch_path
 from ..sources.writers import fold_metrics, read_latest, upsert_customer_metrics
@@ -158,53 +157,44 @@ def stream_model_metrics(stream: DataFrame) -> DataFrame:
 
 
 def stream_circuit_breaker(
-    stream: DataFrame, key: str, failures: int = 3, cooldown_s: float = 3600.0
+    stream: DataFrame, key: str, failures: int = 3, cooldown_s: float = 3600.0, checkpoint: str | None = None,
+    out: str | None = None, chunk: int = 10_000,
 ) -> DataFrame:
-    """State changes of a breaker per task.
+    """Run to the end of the input and return the state changes of a breaker per task.
 
     Closed until ``failures`` straight failures, then open. While open, calls
     are ignored until ``cooldown_s`` has passed; the next call is a trial
     (half-open) that closes the breaker if it succeeds and opens it again if
-    it fails. Calls of one micro-batch are put in time order first. Open the
-    stream with a small ``batch_bytes``: it bounds the calls of the busiest task
-    that one worker has to sort.
+    it fails. Calls of one micro-batch are put in time order first; calls
+    without a time are left out.
+
+    Chunks of a task's calls are summarised by many tasks (see
+    ``operators.breaker``), so a busy task is split. Changes and the breakers'
+    states are written per micro-batch below ``out``; a repeated batch rewrites
+    its own from the states before it. A query that resumes from a checkpoint
+    must keep writing to the same folder. Without any input the result is empty.
     """
-    micros = int(cooldown_s * 1_000_000)
-
-    def step(
-        name: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        is_open, straight, since = state.get if state.exists else (False, 0, 0)
-        calls = pd.concat(list(parts)).sort_values(["us", "attempt_id"])
-        changes = []
-        for us, ok in zip(calls["us"], calls["ok"]):
-            if is_open:
-                if us < since + micros:
-                    continue
-                changes.append((us, "half_open"))
-                is_open, straight = not ok, 0
-                since = us if is_open else since
-                changes.append((us, "open" if is_open else "closed"))
-                continue
-            straight = 0 if ok else straight + 1
-            if straight >= failures:
-                is_open, straight, since = True, 0, us
-                changes.append((us, "open"))
-        state.update((is_open, straight, int(since)))
-        yield pd.DataFrame(
-            [(name[0], int(us), to) for us, to in changes], columns=["task", "us", "state"]
-        )
-
+    spark = stream.sparkSession
+    out = out or scratch_path(spark, "breaker")
     calls = stream.select(
-        F.col(key).alias("task"), "attempt_id",
+        F.col(key).cast("string").alias("task"), "attempt_id",
         F.unix_micros(F.col("start_ts").cast("timestamp")).alias("us"),
-        (F.col("state") == "success").alias("ok"),
-    )
-    changed = calls.groupBy("task").applyInPandasWithState(
-        step, "task string, us bigint, state string",
-        "is_open boolean, straight int, since bigint", "append", GroupStateTimeout.NoTimeout,
-    )
-    return changed.select(
+        F.coalesce(F.col("state") == "success", F.lit(False)).alias("ok"),
+    ).where("us is not null")
+
+    def replace(stored: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+        seen = updates.select(F.col("task").alias("_task"))
+        return stored.join(seen, F.col("task").eqNullSafe(F.col("_task")), "left_anti").unionByName(updates)
+
+    def fold(batch: DataFrame, number: int) -> None:
+        before = read_latest(spark, f"{out}/states", before=number)
+        changes, states = fold_calls(batch, before, failures, int(cooldown_s * 1_000_000), chunk)
+        changes.write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
+        upsert_customer_metrics(f"{out}/states", states, ["task"], number, replace)
+
+    run_batches(calls, "breaker", "append", fold, checkpoint)
+    spark.createDataFrame([], CHANGES).write.mode("overwrite").parquet(f"{out}/changes/batch=-1")
+    return spark.read.schema(CHANGES).parquet(f"{out}/changes").select(
         "task", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "state"
     )
 

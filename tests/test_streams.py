@@ -46,18 +46,56 @@ def calls():
     ]
 
 
-@pytest.mark.parametrize("cuts", [1, 4])
-def test_breaker_does_not_depend_on_batches(spark, calls, cuts):
+@pytest.mark.parametrize("cuts,chunk", [(1, 10_000), (4, 10_000), (3, 7), (20, 2)])
+def test_breaker_does_not_depend_on_batches_or_chunks(spark, calls, cuts, chunk):
     inbox = scratch_path(spark, "calls")
     state, out = scratch_path(spark, "calls-state"), scratch_path(spark, "calls-out")
     per = len(calls) // cuts
-    for n in range(cuts):
-        spark.createDataFrame(calls[n * per:(n + 1) * per][::-1], CALLS).write.mode("append").parquet(f"{inbox}/n={n}")
+    steps = range(cuts) if cuts < 10 else [range(cuts)]
+    for step in steps:
+        for n in [step] if cuts < 10 else step:
+            spark.createDataFrame(calls[n * per:(n + 1) * per][::-1], CALLS).write.mode("append").parquet(f"{inbox}/n={n}")
         stream = open_stream(spark, f"{inbox}/n=*", spark.createDataFrame([], CALLS).schema)
-        got = run_append(j.stream_circuit_breaker(stream, "task", 3, 3600), "b", state, out)
+        got = j.stream_circuit_breaker(stream, "task", 3, 3600, state, out, chunk)
     assert sorted(tuple(r) for r in got.collect()) == breaker(calls, 3, 3600)
 
 
+def test_breaker_without_calls_and_with_odd_ones(spark):
+    inbox = scratch_path(spark, "calls")
+    schema = spark.createDataFrame([], CALLS).schema
+    spark.createDataFrame([], CALLS).write.parquet(f"{inbox}/n=0")
+    assert j.stream_circuit_breaker(open_stream(spark, f"{inbox}/n=*", schema), "task").count() == 0
+    rows = [(1, None, T0, None), (2, None, T0, None), (3, None, None, "success"), (3, "a", T0, "success")]
+    spark.createDataFrame(rows, CALLS).write.mode("overwrite").parquet(f"{inbox}/n=0")
+    got = j.stream_circuit_breaker(open_stream(spark, f"{inbox}/n=*", schema), "task", 2)
+    assert [tuple(r) for r in got.collect()] == [(None, T0, "open")]
+
+
+def test_chunks_compose_to_the_state_machine():
+    import random
+    from types import SimpleNamespace
+
+    from pipelytics.operators.breaker import Chunk, leave
+
+    rng = random.Random(8)
+    for _ in range(1500):
+        n, failures, cooldown = rng.randint(1, 40), rng.randint(1, 4), rng.choice([0, 1, 3, 9, 50])
+        share, minute = rng.random(), 0
+        calls = []
+        for i in range(n):
+            minute += rng.choice([0, 1, 1, 2, 5])
+            calls.append((i, "t", T0 + timedelta(seconds=minute), "success" if rng.random() < share else "failed"))
+        us = [round((c[2] - T0).total_seconds()) * 1_000_000 for c in calls]
+        state, got, low = (False, 0, 0), [], 0
+        while low < n:
+            high = low + rng.randint(1, 9)
+            chunk = Chunk(us[low:high], [c[3] == "success" for c in calls[low:high]], failures, cooldown * 1_000_000)
+            got += [("t", T0 + timedelta(microseconds=u), to) for u, to in chunk.changes(state)]
+            state = leave(SimpleNamespace(**chunk.summary()), state, cooldown * 1_000_000)
+            low = high
+        assert sorted(got) == breaker(calls, failures, cooldown)
+
+
 def test_late_rows_by_hand(spark):
     def chunk(*minutes):
         return spark.createDataFrame([(i, T0 + timedelta(minutes=m)) for i, m in enumerate(minutes)], "event_id int, ts timestamp_ntz")
