@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from .requests import cache_keys
 
@@ -101,28 +104,36 @@ def retrying_map(
     )
 
 
-@udtf(returnType="idx int, step string")
-class SplitSteps:
-    """Sentences of a description, numbered; for use from SQL."""
+def split_steps_function(key: str, kind: str):
+    """A table function that splits the ``text`` of a table's rows into numbered sentences, a batch of rows at a time.
 
-    def eval(self, text: str):
-        import re
+    Arrow table functions state their columns beforehand, so one is made per name and type of the key.
+    """
 
-        for idx, part in enumerate(re.split(r"[.;]\s+", text or "", flags=re.ASCII)):
-            step = re.sub(r"^\s+|\s+$", "", part, flags=re.ASCII)
-            if step:
-                yield idx, step
+    @arrow_udtf(returnType=f"`{key}` {kind}, idx int, step string")
+    class SplitSteps:
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            texts = pc.fill_null(rows.column("text").cast(pa.large_string()), "")
+            parts = pc.split_pattern_regex(texts, "[.;][ \t\n\v\f\r]+")
+            row = pc.list_parent_indices(parts)
+            steps = pc.utf8_trim(pc.list_flatten(parts), " \t\n\v\f\r")
+            starts = np.asarray(parts.offsets)[:-1] - parts.offsets[0].as_py()
+            idx = np.arange(len(steps)) - starts[np.asarray(row)]
+            found = pa.table({
+                key: rows.column(key).take(row), "idx": pa.array(idx, pa.int32()), "step": steps.cast(pa.string())
+            })
+            yield found.filter(pc.not_equal(found["step"], ""))
 
+    return SplitSteps
 
-def register_steps_udtf(spark: SparkSession) -> None:
-    spark.udtf.register("split_steps_tf", SplitSteps)
 
+def steps_udtf(descriptions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The numbered steps of each description, by the table function ``split_steps_tf``; without a text there are none.
 
-def steps_udtf(descriptions: DataFrame) -> DataFrame:
-    """``split_steps_tf`` joined laterally to each description."""
+    The table is its argument, so that whole Arrow batches reach it, and tasks stay as they are.
+    """
     spark = descriptions.sparkSession
-    register_steps_udtf(spark)
-    return spark.sql(
-        "select d.doc_id, s.idx, s.step from {d} d, lateral split_steps_tf(d.text) s",
-        d=descriptions,
-    )
+    kind = descriptions.schema[key].dataType.simpleString()
+    spark.udtf.register("split_steps_tf", split_steps_function(key, kind))
+    rows = descriptions.select(key, "text")
+    return spark.sql("select * from split_steps_tf(table(select * from {rows}))", rows=rows)

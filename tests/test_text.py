@@ -182,3 +182,21 @@ def test_no_documents(spark):
     empty = docs(spark, "x").where(F.lit(False))
     for op in (t.split_steps, t.step_dependencies, t.keyword_stages, t.stage_fallback, t.default_tasks):
         assert op(empty).count() == 0
+
+
+def test_steps_of_the_table_function(spark):
+    import re
+
+    from pipelytics.operators.inference import steps_udtf
+
+    texts = [None, "", " .; ", "Load a. Clean b;\n\vthen c.", "No end", "a.b;c. d . e", "x. " * 5000, "\t A\f ;  B "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id bigint, text string")
+    want = []
+    for i, t in [*enumerate(texts), (3, texts[3])]:
+        for idx, part in enumerate(re.split(r"[.;]\s+", t or "", flags=re.ASCII)):
+            if step := part.strip(" \t\n\v\f\r"):
+                want.append((i, idx, step))
+    assert sorted(map(tuple, steps_udtf(df).collect())) == sorted(want)
+    assert steps_udtf(df.limit(0)).count() == 0
+    named = steps_udtf(df.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")).withColumnRenamed("doc_id", "a b"), "a b")
+    assert named.columns == ["a b", "idx", "step"] and named.count() == len(want)
