@@ -36,6 +36,34 @@ def dataflow_edges(tasks: DataFrame) -> DataFrame:
     )
 
 
+def dataflow_items(tasks: DataFrame) -> DataFrame:
+    """The edges of ``dataflow_edges`` by way of their items, so that size is linear in what tasks list.
+
+    A row ties a task to an item that it produces or uses, where that makes an
+    edge at all. A task that uses an item waits for every task that produces it
+    at a smaller ``pos``; ``expand_items`` writes these edges out. The bounds of
+    an item are combined before the shuffle, so one that most tasks share is one row.
+    """
+    both = (
+        _items(tasks, "outputs", "task_id", "pos").withColumn("role", F.lit("produces"))
+        .unionByName(_items(tasks, "inputs", "task_id", "pos").withColumn("role", F.lit("uses")))
+    )
+    made, used = F.col("role") == "produces", F.col("role") == "uses"
+    bounds = both.groupBy("dag_id", "item").agg(
+        F.min(F.when(made, F.col("pos"))).alias("_first"), F.max(F.when(used, F.col("pos"))).alias("_last")
+    )
+    tied = both.join(bounds.where("_first < _last"), ["dag_id", "item"])
+    tied = tied.where((made & (F.col("pos") < F.col("_last"))) | (used & (F.col("pos") > F.col("_first"))))
+    return tied.select("dag_id", "item", "task_id", "pos", "role").distinct()
+
+
+def expand_items(items: DataFrame) -> DataFrame:
+    """The edges that ``dataflow_items`` stands for; as many as there are dependencies."""
+    made = items.where("role = 'produces'").selectExpr("dag_id", "item", "task_id as upstream_id", "pos as _made")
+    used = items.where("role = 'uses'").drop("role")
+    return used.join(made, ["dag_id", "item"]).where("_made < pos").select("dag_id", "task_id", "upstream_id").distinct()
+
+
 def shared_items(tasks: DataFrame) -> DataFrame:
     """Items of a workflow that some task produces and some task uses."""
     return _items(tasks, "outputs").intersect(_items(tasks, "inputs"))

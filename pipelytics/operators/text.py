@@ -40,13 +40,9 @@ def step_ids(steps: DataFrame) -> DataFrame:
     return steps.withColumn("step_id", x.step_id(F.col("step"), F.col("idx")))
 
 
-def step_dependencies(descriptions: DataFrame) -> DataFrame:
-    """Each step with the ids of the earlier steps it waits for.
-
-    A step that processes or checks waits for every earlier step that names a
-    table; a step that notifies waits for every earlier step.
-    """
-    described = F.transform(
+def _described() -> Column:
+    """The steps of ``text`` with what decides on their dependencies."""
+    return F.transform(
         x.steps(F.col("text")),
         lambda s: F.struct(
             s["idx"].alias("idx"),
@@ -56,6 +52,14 @@ def step_dependencies(descriptions: DataFrame) -> DataFrame:
             x.has_any(F.lower(s["step"]), x.NOTIFYING_WORDS).alias("notifies"),
         ),
     )
+
+
+def step_dependencies(descriptions: DataFrame) -> DataFrame:
+    """Each step with the ids of the earlier steps it waits for.
+
+    A step that processes or checks waits for every earlier step that names a
+    table; a step that notifies waits for every earlier step.
+    """
     linked = F.transform(
         "_steps",
         lambda s: F.struct(
@@ -71,10 +75,26 @@ def step_dependencies(descriptions: DataFrame) -> DataFrame:
             ).alias("depends_on"),
         ),
     )
-    stepped = descriptions.select("doc_id", described.alias("_steps"))
+    stepped = descriptions.select("doc_id", _described().alias("_steps"))
     return unnest(stepped, ["doc_id"], linked, "idx")
 
 
+def step_waits(descriptions: DataFrame) -> DataFrame:
+    """The dependencies of ``step_dependencies`` as one rule per step, so that size is linear in the steps.
+
+    ``waits_for`` is ``all`` earlier steps of the description, its earlier
+    ``tables`` (steps whose ``names_table`` is true), or ``none``.
+    """
+    rules = F.transform(
+        "_steps",
+        lambda s: F.struct(
+            s["idx"].alias("idx"), s["step_id"].alias("step_id"), s["names_table"].alias("names_table"),
+            F.when(s["notifies"], "all").when(s["consumes"], "tables").otherwise("none").alias("waits_for"),
+        ),
+    )
+    return unnest(descriptions.select("doc_id", _described().alias("_steps")), ["doc_id"], rules, "idx")
+
+
 def _with_words(descriptions: DataFrame) -> DataFrame:
     """Add the words of each text as a column, split once for all stages."""
     words = x.spaced_words(F.lower("text"))

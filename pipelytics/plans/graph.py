@@ -133,6 +133,17 @@ def dataflow_edges(t):
     return g.dataflow_edges(t.pipeline_tasks_v)
 
 
+@plan("dataflow_items", """
+    with o as (select dag_id, task_id, pos, unnest(outputs) as item from pipeline_tasks_v),
+    i as (select dag_id, task_id, pos, unnest(inputs) as item from pipeline_tasks_v),
+    e as (select dag_id, item, i.task_id as user_id, i.pos as user_pos, o.task_id as maker_id, o.pos as maker_pos
+          from i join o using (dag_id, item) where o.pos < i.pos)
+    select distinct dag_id, item, maker_id as task_id, maker_pos as pos, 'produces' as role from e
+    union all select distinct dag_id, item, user_id, user_pos, 'uses' from e""")
+def dataflow_items(t):
+    return g.dataflow_items(t.pipeline_tasks_v)
+
+
 @plan("shared_items", """
     select dag_id, unnest(outputs) as item from pipeline_tasks_v
     intersect select dag_id, unnest(inputs) from pipeline_tasks_v""")

@@ -100,6 +100,15 @@ def step_dependencies(t):
     return deps.withColumn("depends_on", F.array_join("depends_on", ","))
 
 
+@plan("step_waits", f"""with {_ENTITIES}
+    select doc_id, idx, step_id, table_name is not null as names_table,
+           case when {_contains_any('lower(step)', x.NOTIFYING_WORDS)} then 'all'
+                when {_contains_any('lower(step)', x.CONSUMING_WORDS)} then 'tables' else 'none' end as waits_for
+    from named""")
+def step_waits(t):
+    return o.step_waits(t.descriptions_v)
+
+
 def _stage_rows(stages) -> str:
     return " union all ".join(
         f"select doc_id, text, {i} as ord, {cols} from w where list_has_any(words, [{_quoted(ws)}])"

@@ -129,3 +129,22 @@ def test_profile_and_cost_by_hand(spark):
     c = g.plan_cost(df).first()
     # (6 * 0.10 + 14 * 0.02) * 0.5 = 0.44
     assert (c.cost_per_run, c.monthly_cost, c.compute, c.storage, c.network) == (0.44, 13.2, 0.31, 0.09, 0.04)
+
+
+def test_items_expand_to_edges(spark):
+    import random
+
+    from pipelytics.operators import graph as g
+
+    rng = random.Random(4)
+    pick = lambda: rng.choice([None, [], rng.choices("abcdef", k=rng.randint(1, 4))])
+    tasks = [(rng.randint(0, 4), f"t{i}", rng.randint(0, 30), pick(), pick()) for i in range(300)]
+    # One item that every task of a workflow produces and uses: linear in the tasks, not in their pairs.
+    tasks += [(9, f"t{i}", i, ["hot"], ["hot"]) for i in range(200)]
+    schema = "dag_id int, task_id string, pos int, inputs array<string>, outputs array<string>"
+    df = spark.createDataFrame(tasks, schema)
+    items = g.dataflow_items(df)
+    assert items.where("dag_id = 9").count() == 398
+    edges = lambda e: sorted(map(tuple, e.collect()))
+    assert edges(g.expand_items(items)) == edges(g.dataflow_edges(df))
+    assert g.dataflow_items(df.limit(0)).count() == 0

@@ -200,3 +200,22 @@ def test_steps_of_the_table_function(spark):
     assert steps_udtf(df.limit(0)).count() == 0
     named = steps_udtf(df.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")).withColumnRenamed("doc_id", "a b"), "a b")
     assert named.columns == ["a b", "idx", "step"] and named.count() == len(want)
+
+
+def test_waits_expand_to_dependencies(spark):
+    from pipelytics.views import Tables
+
+    texts = Tables(spark, "/root/testdata/sf0.01").descriptions_v
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "Load orders table. Notify the team. Clean the orders table; report")], "doc_id long, text string")
+    texts = texts.select("doc_id", "text").unionByName(odd)
+    waits = {}
+    for row in t.step_waits(texts).collect():
+        waits.setdefault(row.doc_id, []).append(row)
+    want = {(r.doc_id, r.idx): r.depends_on for r in t.step_dependencies(texts).collect()}
+    got = {}
+    for doc, steps in waits.items():
+        steps.sort(key=lambda s: s.idx)
+        for s in steps:
+            earlier = [e for e in steps if e.idx < s.idx and (s.waits_for == "all" or s.waits_for == "tables" and e.names_table)]
+            got[doc, s.idx] = [e.step_id for e in earlier]
+    assert got == want and any(got.values())
