@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -69,22 +72,51 @@ def schema_evolution_read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Name, size and checksum of every file; Spark refuses files beyond 2 GB.
+#: Schemes of paths that Arrow's file systems open, and the longest content that Spark's binary source holds in a row.
+_OPENED = {"file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss"}
+_LONGEST = 2**31 - 1
+
+
+def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Checksums of whole files, read in pieces of 8 MB."""
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            local = re.match(r"file:/+(.*)", path, re.S)
+            system, place = (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while piece := stream.read(8 << 20):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield batch.assign(sha256=found)
+
+
+def file_manifest(spark: SparkSession, path: str, glob: str = "*", whole: int = 256 << 20) -> DataFrame:
+    """Name, size and checksum of every file, of any size.
+
+    Files of up to ``whole`` bytes are hashed by Spark as one value, longer ones
+    in pieces by tasks. Paths that only Spark can open are hashed as one value
+    up to its limit of 2 GB, and refused beyond.
 
     A scan passes over empty files, so they are added from the listing that
     Spark holds for the folder.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")
-    scanned = files.select(
-        name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
     # The listing quotes paths and writes an empty host; the scan does neither.
     paths = [(re.sub(r"^(\w+):///", r"\1:/", unquote(p)),) for p in files.inputFiles()]
+    if {p.split(":")[0] for (p,) in paths} - _OPENED:
+        whole = _LONGEST
+    size = F.col("length")
+    scanned = files.where(size <= whole).select(name, size.alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    # Without the content the scan reads no file, so the limit of a row does not matter.
+    pieces = files.where(size > whole).select("path", "length").mapInPandas(
+        _hash_files, "path string, length bigint, sha256 string"
+    )
     listed = spark.createDataFrame(paths, "path string")
     empty = listed.join(files.select("path"), "path", "left_anti").select(
         name, F.lit(0).cast("bigint").alias("bytes"),
         F.sha2(F.lit("").cast("binary"), 256).alias("sha256"),
     )
-    return scanned.unionAll(empty)
+    return scanned.unionAll(pieces.select(name, size.alias("bytes"), "sha256")).unionAll(empty)

@@ -121,6 +121,23 @@ def test_manifest_matches_the_files(spark, tmp_path, rows):
         (n, len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items() if n.endswith("bin")
     ]
     assert rows(r.file_manifest(spark, str(tmp_path), "*.bin")) == sorted(want, key=repr)
+    assert rows(r.file_manifest(spark, str(tmp_path), "*.bin", whole=1)) == sorted(want, key=repr)
+
+
+def test_manifest_of_a_file_beyond_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    # A sparse file: it takes no room on the disk.
+    size = 2**31 + 5
+    with open(tmp_path / "long name é%20.bin", "wb") as out:
+        out.truncate(size)
+    digest = hashlib.sha256()
+    zeros = bytes(1 << 20)
+    for _ in range(size >> 20):
+        digest.update(zeros)
+    digest.update(zeros[: size % (1 << 20)])
+    got = [tuple(x) for x in r.file_manifest(spark, str(tmp_path)).collect()]
+    assert got == [("long name é%20.bin", size, digest.hexdigest())]
 
 
 def test_formats_are_checked(spark):
