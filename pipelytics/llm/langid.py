@@ -72,6 +72,26 @@ def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(buckets)[order], np.bincount(owners, minlength=len(texts))[: len(texts)]
 
 
+def pieces(text: str, most: int) -> list[tuple[str, int]]:
+    """Texts of at most ``most`` characters (8 or more) whose n-grams, added or taken away by sign, are those of a text in lower case.
+
+    A text is cut before a character that is no letter, as no n-gram crosses
+    one. In a very long word the cut falls between letters; the n-grams at the
+    seam are made good by the two letters on either side.
+    """
+    out, low = [], 0
+    while len(text) - low > most:
+        cut = low + most
+        k = next((k for k in range(cut, max(low, cut - 1000), -1) if not text[k].isalpha()), 0)
+        if not k:
+            k = cut - 1
+            left, right = text[max(low, k - 2) : k], text[k : k + 2]
+            out += [(left + right, 1), (left, -1), (right, -1)]
+        out.append((text[low:k], 1))
+        low = k
+    return [*out, (text[low:], 1)]
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """One row of +1 and -1 per language.
 
@@ -98,14 +118,33 @@ class Model:
     def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, bias: np.ndarray, bits: int):
         self.languages, self.code, self.weights, self.bias, self.bits = languages, code, weights, bias, bits
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        buckets, counts = features(texts, self.bits)
-        out = np.zeros((len(texts), self.code.shape[1]))
-        some = np.flatnonzero(counts)
-        if len(some):
-            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))[some]
-            out[some] = np.add.reduceat(self.weights[buckets], starts, axis=0) / counts[some, None]
-        return out + self.bias
+    def margins(self, texts: list[str | None], most: int = 200_000) -> np.ndarray:
+        """One margin per text and bit. Texts are read ``most`` characters at a time, five such pieces at once."""
+        sums, total = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts), dtype=np.int64)
+        held: list[tuple[int, str, int]] = []
+        size = 0
+
+        def add() -> None:
+            buckets, counts = features([piece for _, piece, _ in held], self.bits)
+            owner, sign = np.array([i for i, _, _ in held]), np.array([s for _, _, s in held])
+            some = np.flatnonzero(counts)
+            if len(some):
+                starts = np.concatenate(([0], np.cumsum(counts)[:-1]))[some]
+                found = np.add.reduceat(self.weights[buckets], starts, axis=0)
+                np.add.at(sums, owner[some], found * sign[some, None])
+                np.add.at(total, owner, counts * sign)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for piece, sign in pieces(text.lower(), most) if text else []:
+                held.append((i, piece, sign))
+                size += len(piece)
+                if size >= 5 * most:
+                    add()
+                    size = 0
+        if held:
+            add()
+        return sums / np.maximum(total, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str | None], near: float = 0.7) -> tuple[list, list, list]:
         """Language, score and whether the runner-up is near, per text; ``und`` without a letter."""

@@ -171,6 +171,25 @@ def test_alike_hosts_are_watched(spark):
     assert sum(r.kept for r in judged) == 1600
 
 
+def test_language_of_long_texts_is_read_in_pieces():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(rng.choice(list("abc  .é日"), rng.integers(0, 200))) + "wort" * int(rng.integers(0, 60))
+        parts = langid.pieces(text, int(rng.integers(8, 40)))
+        assert all(len(p) <= 40 for p, _ in parts)
+        whole = np.bincount(langid.features([text], 13)[0], minlength=1 << 13)
+        found = sum(sign * np.bincount(langid.features([p], 13)[0], minlength=1 << 13) for p, sign in parts)
+        assert (found == whole).all()
+    model = langid.train(["das ist ein Haus und der Hund", "the house is where a dog was"], ["de", "en"])
+    long = "der Hund ist im Haus. " * 20_000 + "ÄÖÜ" * 100_000
+    buckets, counts = langid.features([long], model.bits)
+    margins = model.margins(["the dog", long, None, "", "12", "das Haus"])
+    assert np.allclose(margins[1], model.weights[buckets].astype(float).sum(axis=0) / counts[0] + model.bias)
+    assert (margins[2] == model.bias).all() and (margins[4] == model.bias).all()
+    assert np.array_equal(margins, np.concatenate([model.margins([t]) for t in ["the dog", long, None, "", "12", "das Haus"]]))
+    assert model.predict(["the house is where a dog was", long, None])[0] == ["en", "de", "und"]
+
+
 def test_html_parser_takes_broken_pages():
     for text in ("<b>" * 100_000 + "</i>" * 100_000, "<div>" * 50_000 + "</p>" * 100_000, "<table>" + "<b>" * 50_000 + "<tr><td>" * 50_000):
         begin = time.perf_counter()
