@@ -9,21 +9,28 @@ of the rows does not matter.
 Several models (``fits``: folds and the final one) are grown in the same passes.
 Where the binned training rows are proven to fit into ``local_bytes``, they are broadcast
 and each task grows whole trees with the same functions, to the same trees.
+
+A forest grows with the rows, so it stays a table: the rows are sent to its trees,
+and neither the driver nor a task holds more than a tree of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 
 BINS = 256
+#: Nodes of a tree in a row of the forest's table, and bytes of bins in a block of rows sent to the trees.
+PIECE, BLOCK = 4096, 16384
 #: Gradients are held as whole numbers of this size.
 UNIT = 2**30
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +68,9 @@ def histogram(nodes: np.ndarray, bins: np.ndarray, sums: np.ndarray) -> tuple[np
     else:
         used, place = np.unique(keys, return_inverse=True)
     total = np.zeros((len(used), sums.shape[1]), dtype=np.int64)
-    np.add.at(total, place, np.repeat(sums, width, axis=0))
+    place = place.reshape(-1, width)
+    for feature in range(width):
+        np.add.at(total, place[:, feature], sums)
     return held[used // (width * BINS)], used // BINS % width, used % BINS, total
 
 
@@ -192,8 +201,8 @@ def binned(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray]) ->
 
 def _arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
     ids, labels, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-    bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, width).astype(np.int64)
-    return ids.astype(np.int64), labels.astype(np.int64), folds.astype(np.int64), bins
+    bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, width)
+    return ids.astype(np.int64), labels.astype(np.int32), folds.astype(np.int32), bins
 
 
 def _learns(folds: np.ndarray, fit: int) -> np.ndarray:
@@ -204,28 +213,50 @@ def _learns(folds: np.ndarray, fit: int) -> np.ndarray:
 def _at_hand(rows: DataFrame, width: int, local_bytes: int):
     """The training rows in order of their ids, broadcast, if they are proven to take at most ``local_bytes``."""
     train = rows.where("fold >= 0")
-    if train.count() * (width + 64) > local_bytes:
+    if train.count() * (width + 16) > local_bytes:
         return None
     table = train.select("id", "label", "fold", "bins").toArrow().combine_chunks()
     order = np.argsort(table.column("id").to_numpy(), kind="stable")
     return rows.sparkSession.sparkContext.broadcast(_arrays(table.take(pa.array(order)).to_batches()[0], width) if len(order) else None)
 
 
-def _packed(tree: Tree) -> dict:
-    return {k: getattr(tree, k).astype("<i8").tobytes() for k in ("feature", "bin", "left", "right", "sums")}
+def _packed(tree: Tree, part: slice = slice(None)) -> dict:
+    return {k: getattr(tree, k)[part].astype("<i8").tobytes() for k in ("feature", "bin", "left", "right", "sums")}
 
 
-def _unpacked(row, sums: int) -> Tree:
+def _unpacked(pieces: Sequence, sums: int) -> Tree:
     tree = Tree(np.zeros(sums))
-    for k in ("feature", "bin", "left", "right", "sums"):
-        setattr(tree, k, np.frombuffer(bytes(row[k]), dtype="<i8").reshape((-1, sums) if k == "sums" else -1))
+    for k in ("feature", "bin", "left", "right", "sums") if pieces else ():
+        whole = np.frombuffer(b"".join(bytes(piece[k]) for piece in pieces), dtype="<i8")
+        setattr(tree, k, whole.reshape((-1, sums) if k == "sums" else -1))
     return tree
 
 
 _TREE = "fit int, tree int, feature binary, bin binary, left binary, right binary, sums binary"
+_PIECE = f"piece int, {_TREE}"
+
+
+class Forest(Mapping):
+    """``(fit, tree)``: tree, held as a table of pieces of trees. Only a tree that is asked for comes to the driver."""
+
+    def __init__(self, pieces: DataFrame, trees: int):
+        self.pieces, self.trees = pieces, trees
+
+    def __getitem__(self, key: tuple[int, int]) -> Tree:
+        fit, tree = key
+        found = self.pieces.where((F.col("fit") == fit) & (F.col("tree") == tree)).orderBy("piece").collect()
+        if not found:
+            raise KeyError(key)
+        return _unpacked(found, 3)
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        return iter(sorted((r[0], r[1]) for r in self.pieces.where("piece = 0").select("fit", "tree").collect()))
 
+    def __len__(self) -> int:
+        return self.pieces.where("piece = 0").count()
 
-def forest(rows: DataFrame, width: int, fits: int, trees: int, seed: int, local_bytes: int = 64_000_000) -> dict:
+
+def forest(rows: DataFrame, width: int, fits: int, trees: int, seed: int, local_bytes: int = 64_000_000) -> Forest:
     """``(fit, tree)``: tree, each grown until its leaves are pure or cannot be cut.
 
     A node tries as many features as the root of their number. Each tree draws rows
@@ -234,7 +265,7 @@ def forest(rows: DataFrame, width: int, fits: int, trees: int, seed: int, local_
     tried = max(1, int(np.sqrt(width)))
     shared = _at_hand(rows, width, local_bytes)
     if shared is None:
-        return _forest_by_levels(rows, width, fits, trees, seed, tried)
+        return Forest(_forest_by_levels(rows, width, fits, trees, seed, tried), trees)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -247,50 +278,55 @@ def forest(rows: DataFrame, width: int, fits: int, trees: int, seed: int, local_
                 held = times > 0
                 sums = np.stack([times, times * (labels == 0), times * (labels == 1)], axis=1)[held]
                 grown, _ = grow(bins[held], sums, tried, _seed(fit, tree, trees, seed))
-                yield pd.DataFrame([{"fit": fit, "tree": tree} | _packed(grown)])
+                for piece, start in enumerate(range(0, len(grown.feature), PIECE)):
+                    packed = _packed(grown, slice(start, start + PIECE))
+                    yield pd.DataFrame([{"piece": piece, "fit": fit, "tree": tree} | packed])
 
     spark = rows.sparkSession
     numbers = spark.range(0, fits * trees, 1, min(fits * trees, 4 * spark.sparkContext.defaultParallelism))
-    made = materialise(numbers.mapInPandas(run, _TREE), "forest")
-    return {(r["fit"], r["tree"]): _unpacked(r, 3) for r in made.toLocalIterator()}
+    return Forest(materialise(numbers.mapInPandas(run, _PIECE), "forest"), trees)
 
 
 def _seed(fit: int, tree: int, trees: int, seed: int) -> int:
     return seed * 1_000_003 + fit * trees + tree
 
 
-def _forest_by_levels(rows: DataFrame, width: int, fits: int, trees: int, seed: int, tried: int) -> dict:
-    """Every level of all trees in one pass over the rows; a pass writes each row's node in each tree.
+def _forest_by_levels(rows: DataFrame, width: int, fits: int, trees: int, seed: int, tried: int) -> DataFrame:
+    """Every level of all trees in a few passes over the rows that the trees have drawn and that stand at open nodes.
 
-    What comes to the driver is the model itself, cut by cut.
+    The cuts of a level are a table that is joined with the rows. What comes to the
+    driver is the number of nodes of each tree.
     """
     total = fits * trees
-    grown: dict[int, Tree] = {}
-
-    def counted(state: DataFrame, waiting: dict[int, np.ndarray]) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(waiting)
+    spark = rows.sparkSession
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, labels, folds, bins = _arrays(batch, width)
-                at = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i4").reshape(len(ids), total)
-                for k, nodes in shared.value.items():
-                    fit, tree = divmod(k, trees)
-                    here = np.flatnonzero(np.isin(at[:, k], nodes))
-                    times = bootstrap(ids[here], tree, seed) * _learns(folds[here], fit)
-                    here, times = here[times > 0], times[times > 0]
-                    if not len(here):
-                        continue
-                    sums = np.stack([times, times * (labels[here] == 0), times * (labels[here] == 1)], axis=1)
-                    node, feature, cell, found = histogram(at[here, k].astype(np.int64), bins[here], sums)
-                    columns = [np.full(len(node), k), node, feature, cell, *found.T]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, labels, folds, _ = _arrays(batch, width)
+            for k in range(total):
+                fit, tree = divmod(k, trees)
+                times = bootstrap(ids, tree, seed) * _learns(folds, fit)
+                here = np.flatnonzero(times > 0)
+                if len(here):
+                    columns = [np.full(len(here), k), np.zeros(len(here)), labels[here], times[here]]
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array(c.astype(np.int64)).cast(t) for c, t in zip(columns, kinds)], batch.column(3).take(pa.array(here))],
+                        names=["k", "node", "label", "times", "bins"],
+                    )
 
-        names = ["k", "node", "feature", "bin", "s0", "s1", "s2"]
-        cells = state.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
-        return cells.groupBy("k", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in names[4:]])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, node, label, times = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
+            bins = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, width)
+            sums = np.stack([times, times * (label == 0), times * (label == 1)], axis=1)
+            both, feature, cell, found = histogram(k << 40 | node, bins, sums)
+            columns = [both >> 40, both & (2**40 - 1), feature, cell, *found.T]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
 
     def cut(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["node", "feature", "bin"])
@@ -299,75 +335,142 @@ def _forest_by_levels(rows: DataFrame, width: int, fits: int, trees: int, seed:
         sums = frame[["s0", "s1", "s2"]].to_numpy()
         node, feature, cell = (frame[c].to_numpy() for c in ("node", "feature", "bin"))
         nodes, features, cuts = best_cuts(node, feature, cell, sums, tried, _seed(fit, tree, trees, seed))
-        out = []
-        for n, f, c in zip(nodes, features, cuts):
-            own = (node == n) & (feature == f)
-            left = sums[own & (cell <= c)].sum(axis=0)
-            out.append((k, n, f, c, *left, *(sums[own].sum(axis=0) - left)))
+        held, dense = np.unique(node, return_inverse=True)
+        place = (dense * width + feature) * BINS + cell
+        own = (np.searchsorted(held, nodes) * width + features) * BINS
+        upto = np.concatenate([np.zeros((1, 3), dtype=np.int64), np.cumsum(sums, axis=0)])
+        low, mid, high = (upto[np.searchsorted(place, own + b, side="left")] for b in (0, cuts + 1, BINS))
+        out = np.column_stack([np.full(len(nodes), k), nodes, features, cuts, mid - low, high - mid])
         return pd.DataFrame(out, columns=["k", "node", "feature", "bin", "l0", "l1", "l2", "r0", "r1", "r2"])
 
-    def moved(state: DataFrame, cuts: dict[int, Tree]) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(cuts)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bins = _arrays(batch, width)[3]
-                at = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i4").reshape(len(bins), total).copy()
-                for k, tree in shared.value.items():
-                    here = np.flatnonzero(tree.feature[at[:, k]] >= 0)
-                    at[here, k] = tree.step(at[here, k], bins[here])
-                nodes = pa.array([r.tobytes() for r in at.astype("<i4")], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], nodes], names=[*batch.schema.names])
-
-        return materialise(state.mapInArrow(run, state.schema), "nodes")
-
-    train = rows.where("fold >= 0").select("id", "label", "fold", "bins")
-    state = train.withColumn("at", F.expr(f"cast(repeat('\\0', {4 * total}) as binary)"))
-    per_root = counted(state, {k: np.array([0]) for k in range(total)}).where("feature = 0").groupBy("k")
-    for r in per_root.agg(F.sum("s0"), F.sum("s1"), F.sum("s2")).collect():
-        grown[r[0]] = Tree(np.array(r[1:]))
-    for k in range(total):
-        grown.setdefault(k, Tree(np.zeros(3)))
-    waiting = {k: tree.open(np.array([0])) for k, tree in grown.items()}
-    waiting = {k: nodes for k, nodes in waiting.items() if len(nodes)}
+    names = ["k", "node", "feature", "bin", "s0", "s1", "s2"]
     schema = ", ".join(f"{c} bigint" for c in ("k", "node", "feature", "bin", "l0", "l1", "l2", "r0", "r1", "r2"))
-    while waiting:
-        cells = counted(state, waiting)
+    train = rows.where("fold >= 0").select("id", "label", "fold", "bins")
+    state = materialise(train.mapInArrow(drawn, "k int, node bigint, label int, times int, bins binary"), "drawn")
+    per_class = [F.sum(F.when(F.col("label") == y, F.col("times")).otherwise(0)) for y in (0, 1)]
+    per_root = state.groupBy("k").agg(F.sum("times").alias("s0"), per_class[0].alias("s1"), per_class[1].alias("s2"))
+    numbers = spark.range(total).select(F.col("id").alias("k"), F.lit(0).cast("bigint").alias("node"))
+    roots = materialise(numbers.join(per_root, "k", "left").na.fill(0, ["s0", "s1", "s2"]), "roots")
+    opened = roots.where("s1 > 0 and s2 > 0").select("k", "node")
+    state = _advanced(state, state.join(F.broadcast(opened), ["k", "node"], "left_semi"))
+    sizes, levels = dict.fromkeys(range(total), 1), []
+    while True:
+        cells = state.mapInArrow(counted, ", ".join(f"{c} bigint" for c in names))
+        cells = cells.groupBy("k", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in names[4:]])
         found = cells.groupBy("k", F.pmod("node", F.lit(64)).alias("part")).applyInPandas(cut, schema)
-        by_tree = {k: part.sort_values("node") for k, part in found.toPandas().groupby("k")}
-        waiting = {}
-        for k, part in by_tree.items():
-            tree = grown[k]
-            children = tree.split(*[part[c].to_numpy() for c in ("node", "feature", "bin")])
-            tree.sums[children[::2]] = part[["l0", "l1", "l2"]].to_numpy()
-            tree.sums[children[1::2]] = part[["r0", "r1", "r2"]].to_numpy()
-            still = tree.open(children)
-            if len(still):
-                waiting[k] = still
-        if waiting:
-            state = moved(state, {k: grown[k] for k in waiting})
-    return {divmod(k, trees): tree for k, tree in grown.items()}
-
-
-def forest_votes(rows: DataFrame, model: dict, width: int, fits: int) -> DataFrame:
+        first = spark.createDataFrame(list(sizes.items()), "k bigint, size bigint")
+        left = F.col("size") + 2 * (F.row_number().over(Window.partitionBy("k").orderBy("node")) - 1)
+        placed = found.join(F.broadcast(first), "k").withColumn("left", left).withColumn("right", F.col("left") + 1)
+        cuts = materialise(placed.drop("size"), "cuts")
+        made = cuts.groupBy("k").count().collect()
+        if not made:
+            break
+        levels.append(cuts)
+        for r in made:
+            sizes[r["k"]] += 2 * r["count"]
+        value = F.expr("cast(conv(hex(substring(bins, cast(feature + 1 as int), 1)), 16, 10) as int)")
+        goes, still = value > F.col("bin"), lambda s: (F.col(f"{s}1") > 0) & (F.col(f"{s}2") > 0)
+        moved = state.join(cuts, ["k", "node"]).where(F.when(goes, still("r")).otherwise(still("l")))
+        moved = moved.select("k", F.when(goes, F.col("right")).otherwise(F.col("left")).alias("node"), "label", "times", "bins")
+        state = _advanced(state, moved)
+    discard(state)
+    return materialise(_pieces(roots, levels, trees), "forest")
+
+
+def _advanced(state: DataFrame, moved: DataFrame) -> DataFrame:
+    """The rows of the next level, written in place of those of the last one."""
+    out = materialise(moved, "drawn")
+    discard(state)
+    return out
+
+
+def _pieces(roots: DataFrame, levels: list[DataFrame], trees: int) -> DataFrame:
+    """Pieces of trees, as a ``Tree`` has them, from the roots' sums and the cuts of all levels."""
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        fit, tree = divmod(int(frame["k"].iloc[0]), trees)
+        packed = {c: frame[c].to_numpy().astype("<i8").tobytes() for c in ("feature", "bin", "left", "right")}
+        sums = np.ascontiguousarray(frame[["s0", "s1", "s2"]].to_numpy().astype("<i8")).tobytes()
+        return pd.DataFrame([{"piece": int(frame["piece"].iloc[0]), "fit": fit, "tree": tree} | packed | {"sums": sums}])
+
+    columns = "k bigint, node bigint, feature bigint, bin bigint, left bigint, right bigint"
+    inner = [c.select("k", "node", "feature", "bin", "left", "right") for c in levels]
+    cuts = reduce(DataFrame.unionByName, inner, roots.sparkSession.createDataFrame([], columns))
+    children = [
+        c.select("k", F.col(side).alias("node"), *[F.col(f"{side[0]}{i}").alias(f"s{i}") for i in range(3)])
+        for c in levels for side in ("left", "right")
+    ]
+    nodes = reduce(DataFrame.unionByName, children, roots).join(cuts, ["k", "node"], "left").na.fill(-1, ["feature", "left", "right"])
+    nodes = nodes.withColumn("bin", F.coalesce("bin", F.when(F.col("node") > 0, -1).otherwise(0)))
+    nodes = nodes.withColumn("piece", F.floor(F.col("node") / PIECE))
+    return nodes.groupBy("k", "piece").applyInPandas(pack, _PIECE)
+
+
+def forest_votes(rows: DataFrame, model: Forest, width: int, fits: int) -> DataFrame:
     """``fit, label, prediction`` for the rows that a fit has not learnt from: its fold, or the test rows for the last.
 
-    The mean of the trees' class shares decides; a tie goes to class 0. The model is
-    broadcast, as every task needs all of it.
+    The mean of the trees' class shares decides; a tie goes to class 0. Blocks of rows
+    are sent to every tree of their fit, behind the pieces of the tree, and the shares of
+    a block are added up in the order of the trees.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    trees, size = model.trees, max(1, BLOCK // width)
 
-    def run(fit: int, bins: np.ndarray) -> np.ndarray:
-        share = np.zeros(len(bins))
-        own = [tree for (f, _), tree in shared.value.items() if f == fit]
-        for tree in own:
-            n, _, ones = tree.sums.T
-            share += np.where(n > 0, ones / np.maximum(n, 1), 0.0)[tree.leaves(bins)]
-        return (share > 0.5 * len(own)).astype(np.int64)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, labels, folds, bins = _arrays(batch, width)
+            for fit in range(fits):
+                mine = np.flatnonzero(folds == (fit if fit < fits - 1 else -1))
+                for start in range(0, len(mine), size):
+                    some = mine[start : start + size]
+                    columns = [[fit], [number], [labels[some].astype("<i4").tobytes()], [bins[some].tobytes()]]
+                    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["fit", "place", "labels", "bins"])
+                    number += 1
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pieces, tree, ones = None, [], None, None
+        for batch in (some.slice(start, 64) for some in batches for start in range(0, some.num_rows, 64)):
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                if held != (r["fit"], r["tree"]):
+                    held, pieces, tree = (r["fit"], r["tree"]), [], None
+                if r["place"] < 0:
+                    pieces.append(r)
+                    continue
+                if tree is None:
+                    tree, pieces = _unpacked(pieces, 3), []
+                    n, _, ones = tree.sums.T
+                    ones = np.where(n > 0, ones / np.maximum(n, 1), 0.0)
+                bins = np.frombuffer(r["bins"], dtype=np.uint8).reshape(-1, width)
+                out.append((r["fit"], r["place"], r["tree"], r["labels"], ones[tree.leaves(bins)].astype("<f8").tobytes()))
+            if out:
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["fit", "place", "tree", "labels", "shares"]
+                )
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("tree")
+        labels = np.frombuffer(frame["labels"].iloc[0], dtype="<i4")
+        total = np.zeros(len(labels))
+        for shares in frame["shares"]:
+            total += np.frombuffer(shares, dtype="<f8")
+        return pd.DataFrame({"fit": frame["fit"].iloc[0], "label": labels, "prediction": (total > 0.5 * trees).astype(np.int64)})
 
-    return _predicted(rows, width, fits, run)
+    picked = rows.select("id", "label", "fold", "bins")
+    blocks = picked.mapInArrow(cut, "fit int, place bigint, labels binary, bins binary")
+    # The labels travel with the first tree only; pieces have places below all blocks.
+    sent = blocks.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    sent = sent.withColumn("labels", F.when(F.col("tree") == 0, F.col("labels")))
+    grown = model.pieces.withColumn("place", F.col("piece").cast("bigint") - F.lit(2**40)).drop("piece")
+    both = grown.unionByName(sent, allowMissingColumns=True).repartition("fit", "tree")
+    shares = both.sortWithinPartitions("fit", "tree", "place").mapInArrow(share, "fit int, place bigint, tree int, labels binary, shares binary")
+    voted = shares.groupBy("fit", "place").applyInPandas(add, "fit int, label int, prediction int")
+    return materialise(voted, "votes")
 
 
 def _predicted(rows: DataFrame, width: int, fits: int, guess) -> DataFrame:
@@ -446,7 +549,7 @@ def boosted(
     )
     model: dict = {fit: (0.0, []) for fit in range(fits)}
     for r in made.orderBy("fit", "tree").toLocalIterator():
-        model[r["fit"]] = (r["start"], [*model[r["fit"]][1], (_unpacked(r, 2), np.frombuffer(bytes(r["value"]), dtype="<f8"))])
+        model[r["fit"]] = (r["start"], [*model[r["fit"]][1], (_unpacked([r], 2), np.frombuffer(bytes(r["value"]), dtype="<f8"))])
     return model
 
 

@@ -2,9 +2,11 @@
 
 import inspect
 import itertools
+import pickle
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from pipelytics.operators import learning as l
@@ -60,6 +62,59 @@ def test_forest_is_the_same_either_way(cells):
     assert ((tree.sums[leaves, 1:] > 0).sum(axis=1) == 1).mean() > 0.95
 
 
+@pytest.mark.parametrize("local_bytes", [64_000_000, 0])
+def test_the_forest_stays_out_of_the_driver(cells, monkeypatch, local_bytes):
+    sent = []
+
+    def weighed(kind, name, brought):
+        plain = getattr(kind, name)
+
+        def run(self, *args, **named):
+            out = plain(self, *args, **named)
+            out = list(out) if name == "toLocalIterator" else out
+            sent.append(len(pickle.dumps(out if brought else args[0])))
+            return iter(out) if name == "toLocalIterator" else out
+
+        monkeypatch.setattr(kind, name, run)
+
+    for name in ("collect", "toPandas", "toLocalIterator", "toArrow"):
+        weighed(type(cells), name, True)
+    weighed(SparkContext, "broadcast", False)
+    model = trees.forest(cells, 3, 6, 8, 5, local_bytes=local_bytes)
+    voted = trees.forest_votes(cells, model, 3, 6)
+    monkeypatch.undo()
+    model = dict(model.items())
+    nodes = sum(len(tree.feature) for tree in model.values())
+    assert nodes * 56 > 100_000 > 4 * max(sent)
+    # The votes are those of the trees.
+    expected = []
+    ids, labels, folds, bins = trees._arrays(cells.toArrow().combine_chunks().to_batches()[0], 3)
+    for fit in range(6):
+        mine = folds == (fit if fit < 5 else -1)
+        share = np.zeros(mine.sum())
+        for tree in (model[fit, k] for k in range(8)):
+            n, _, ones = tree.sums.T
+            share += (ones / n)[tree.leaves(bins[mine])]
+        expected += zip(itertools.repeat(fit), labels[mine].tolist(), (share > 4).astype(int).tolist())
+    assert sorted(map(tuple, voted.collect())) == sorted(expected)
+
+
+def test_a_tree_in_pieces(cells, monkeypatch):
+    whole = trees.forest(cells, 3, 6, 2, 5)
+    monkeypatch.setattr(trees, "PIECE", 7)
+    monkeypatch.setattr(trees, "BLOCK", 30)
+    votes = [sorted(map(tuple, trees.forest_votes(cells, trees.forest(cells, 3, 6, 2, 5, n), 3, 6).collect())) for n in (10**6, 0)]
+    monkeypatch.undo()
+    assert votes[0] == votes[1] == sorted(map(tuple, trees.forest_votes(cells, whole, 3, 6).collect()))
+
+
+def test_any_label_of_a_row_is_kept(cells):
+    """Labels other than 0 and 1 are counted under their own number."""
+    odd = cells.withColumn("label", F.when(F.col("label") == 0, 300).otherwise(F.col("label")))
+    voted = trees.forest_votes(odd, trees.forest(odd, 3, 6, 1, 5), 3, 6)
+    assert {r.label for r in voted.collect()} == {1, 300}
+
+
 def test_boosting_is_the_same_either_way(cells):
     whole = trees.boosted(cells, 3, 6, 3)
     levels = trees.boosted(cells, 3, 6, 3, local_bytes=0)
